@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DataProblem, require_columns
 from ..functions import text as T
-from ..session import materialise
+from ..session import evened, materialise
 
 # The reported points of the length table.
 LENGTH_POINTS = {
@@ -40,11 +40,14 @@ def document_profile(df: DataFrame, text_column: str, unit: str | None = None, g
     if group:
         trimmed = T.group_label(group)
         label = F.when(trimmed == "", MISSING).otherwise(trimmed)
-    normalised = df.select(
-        T.normalized(text_column).alias("norm_text"),
-        (F.col(unit) if unit else F.lit(None).cast("string")).alias("unit"),
-        label.alias("group"),
+    source = evened(
+        df.select(
+            F.col(text_column).alias("raw_text"),
+            (F.col(unit) if unit else F.lit(None).cast("string")).alias("unit"),
+            label.alias("group"),
+        )
     )
+    normalised = source.withColumn("norm_text", T.normalized("raw_text"))
     filled = F.col("norm_text") != ""
     return normalised.select(
         "unit",

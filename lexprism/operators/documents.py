@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import TextConfig, require_columns
 from ..functions import text as T
-from ..session import materialise
+from ..session import evened, materialise
 
 
 def _keeps_rows_apart(df: DataFrame, unit: str) -> bool:
@@ -25,9 +25,9 @@ def with_document_key(df: DataFrame, unit: str | None, columns: dict[str, Column
     a lost partition is computed again.
     """
     if unit and _keeps_rows_apart(df, unit):
-        return df.select(F.col(unit).alias("doc_key"), *[c.alias(name) for name, c in columns.items()])
+        return evened(df.select(F.col(unit).alias("doc_key"), *[c.alias(name) for name, c in columns.items()]))
     named = df.select(*[c.alias(name) for name, c in columns.items()])
-    return materialise(named.withColumn("doc_key", F.monotonically_increasing_id()), "keyed")
+    return materialise(evened(named).withColumn("doc_key", F.monotonically_increasing_id()), "keyed")
 
 
 def keyed_texts(df: DataFrame, config: TextConfig) -> DataFrame:

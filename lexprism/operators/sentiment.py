@@ -16,14 +16,14 @@ from ..functions import text as T
 from ..functions.arrays import bind, total
 from ..functions.stats import period_label, t_quantile
 from .audit import MISSING
-from .lexicon import IN_TASK_LEXICON_LIMIT, is_negating, is_strengthening, is_weakening, with_valences
+from .lexicon import IN_TASK_LEXICON_LIMIT, NEGATING, STRENGTHENING, WEAKENING, with_valences
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @dataclass(frozen=True)
 class ScoreRules:
-    """Fixed values of the published scoring rule (Hutto & Gilbert 2014)."""
+    """Fixed values of the published scoring rule (Hutto & Gilbert 2014); word lists can be replaced."""
 
     booster: float = 0.293
     capitals: float = 0.733
@@ -38,6 +38,10 @@ class ScoreRules:
     question_cap: float = 0.96
     normalising: float = 15.0
     threshold: float = 0.05
+    strengthening: tuple[str, ...] = STRENGTHENING
+    weakening: tuple[str, ...] = WEAKENING
+    negating: tuple[str, ...] = NEGATING
+    contrast: str = "but"
 
 
 RULES = ScoreRules()
@@ -60,12 +64,13 @@ def _token_facts(rules: ScoreRules) -> Column:
     def facts(cased: Column, word_valence: Column) -> Column:
         word, valence = word_valence["word"], word_valence["valence"]
         shouting = (F.upper(cased) == cased) & (F.lower(cased) != cased)
-        boost = F.when(is_strengthening(word), F.lit(rules.booster)).when(is_weakening(word), F.lit(-rules.booster))
+        boost = F.when(word.isin(list(rules.strengthening)), F.lit(rules.booster))
+        boost = boost.when(word.isin(list(rules.weakening)), F.lit(-rules.booster))
         return F.struct(
             word.alias("word"),
             valence.alias("valence"),
             F.coalesce(boost, F.lit(0.0)).alias("boost"),
-            is_negating(word).alias("negates"),
+            (word.isin(list(rules.negating)) | F.contains(word, F.lit("n't"))).alias("negates"),
             shouting.alias("capitals"),
         )
 
@@ -123,7 +128,9 @@ def _word_score(facts: Column, position: Column, mixed_case: Column, rules: Scor
     return F.when(applies, value).otherwise(0.0)
 
 
-def _around_but(scores: Column, words: Column, rules: ScoreRules) -> Column:
+def _around_contrast(scores: Column, words: Column, rules: ScoreRules) -> Column:
+    """Weaken what comes before the first contrasting word and strengthen what follows."""
+
     def reweighted(pair: Column) -> Column:
         where, listed = pair["where"] - 1, pair["scores"]
         weigh = lambda v, i: (
@@ -131,7 +138,7 @@ def _around_but(scores: Column, words: Column, rules: ScoreRules) -> Column:
         )
         return F.when(where >= 0, F.transform(listed, weigh)).otherwise(listed)
 
-    return bind(F.struct(F.array_position(words, "but").alias("where"), scores.alias("scores")), reweighted)
+    return bind(F.struct(F.array_position(words, rules.contrast).alias("where"), scores.alias("scores")), reweighted)
 
 
 def _emphasis(norm: Column, rules: ScoreRules) -> Column:
@@ -159,7 +166,7 @@ def word_scores(documents: DataFrame, rules: ScoreRules = RULES) -> DataFrame:
 
     scores = bind(F.struct(_token_facts(rules).alias("facts")), scored)
     per_word = documents.select(*keep, "words", scores.alias("scores"), _emphasis(F.col("norm_text"), rules).alias("emphasis"))
-    return per_word.withColumn("scores", _around_but(F.col("scores"), F.col("words"), rules)).drop("words")
+    return per_word.withColumn("scores", _around_contrast(F.col("scores"), F.col("words"), rules)).drop("words")
 
 
 def predicted_label(compound: Column, binary: bool) -> Column:

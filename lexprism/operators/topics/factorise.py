@@ -23,11 +23,18 @@ CHUNK_BYTES = 64 * 1024 * 1024
 TOPIC_SWEEPS = 4
 ROW_SWEEPS = 500
 ROW_TOLERANCE = 1e-9
+FIRST_REACH = 0.5
+MORE_REACH = 1.1
+LESS_REACH = 0.5
 
 
 @dataclass(frozen=True)
 class Fit:
-    """One factorisation; ``sample`` is a flag position, -1 for the full corpus."""
+    """One factorisation; ``sample`` is a flag position, -1 for the full corpus.
+
+    ``components`` is the point the next pass evaluates. It may lie ahead of
+    ``settled``, the last topics known to lower the error to ``residual``.
+    """
 
     topics: int
     iteration: int
@@ -36,8 +43,10 @@ class Fit:
     square_sum: float
     passes: int = 0
     converged: bool = False
-    residual: float = float("nan")
+    residual: float = float("inf")
     first_violation: float | None = None
+    settled: np.ndarray | None = None
+    reach: float = FIRST_REACH
 
     @property
     def relative_error(self) -> float:
@@ -128,20 +137,32 @@ def _one_pass(rows: DataFrame, fits: list[Fit], terms: int) -> list[tuple[np.nda
 
 
 def _advance(fit: Fit, weight_gram: np.ndarray, weight_image: np.ndarray) -> Fit:
+    """One step of a fit from the statistics of a pass.
+
+    Each step goes on a little in the direction it moved. Where that raised the
+    error the fit falls back to the settled topics, so the error of settled
+    topics never rises.
+    """
     topics = fit.components
     residual = (
         fit.square_sum
         - 2.0 * float((topics * weight_image).sum())
         + float((weight_gram * (topics @ topics.T)).sum())
     )
+    seen = replace(fit, passes=fit.passes + 1)
+    if residual > fit.residual and topics is not fit.settled:
+        return replace(seen, components=fit.settled, reach=fit.reach * LESS_REACH)
     gap = violation(topics, weight_gram, weight_image)
     first = gap if fit.first_violation is None else fit.first_violation
-    seen = replace(fit, passes=fit.passes + 1, residual=residual, first_violation=first)
+    seen = replace(seen, residual=residual, first_violation=first)
     if gap <= FIT_TOLERANCE * first:
         return replace(seen, converged=True)
     if seen.passes >= MAX_FIT_ITERATIONS:
         return seen
-    return replace(seen, components=improved_topics(topics, weight_gram, weight_image))
+    better = improved_topics(topics, weight_gram, weight_image)
+    before = topics if fit.settled is None else fit.settled
+    ahead = np.maximum(better + fit.reach * (better - before), 0.0)
+    return replace(seen, components=ahead, settled=better, reach=min(1.0, fit.reach * MORE_REACH))
 
 
 def _chunks(fits: list[Fit]) -> Iterator[list[Fit]]:

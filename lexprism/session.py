@@ -33,6 +33,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def evened(df: DataFrame) -> DataFrame:
+    """Spread an input of few splits over the task slots.
+
+    A large input has more splits than slots and is returned as it is.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if 2 * df.rdd.getNumPartitions() <= slots else df
+
+
 def pin_utc(spark: SparkSession) -> None:
     """Periods are calendar periods in UTC, whatever the machine's zone."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
