@@ -407,6 +407,37 @@ SELECT CAST(label AS VARCHAR) AS variant, count(DISTINCT vec_id) AS documents,
 FROM share WHERE CAST(label AS VARCHAR) IN (SELECT v FROM levels) GROUP BY label
 """
 
+ORACLES["diagnostic_counts"] = f"""
+WITH {vocabulary_cte(TEXT)},
+s AS (SELECT (SELECT count(*) FROM documents) AS source_rows, (SELECT docs FROM total) AS docs,
+             (SELECT count(DISTINCT doc_id) FROM dtc) AS usable, (SELECT count(*) FROM dtc) AS entries,
+             (SELECT count(*) FROM vocab) AS size,
+             (SELECT string_agg(g, ',' ORDER BY g) FROM (SELECT DISTINCT trim(lang) AS g FROM tok WHERE trim(lang) <> ''))
+               AS levels)
+SELECT source_rows, docs AS nonblank_documents, usable AS topic_model_documents,
+       round(usable / CAST(docs AS DOUBLE), 6) AS lexical_coverage, size AS vocabulary_size,
+       round(1.0 - entries / (CAST(usable AS DOUBLE) * size), 6) AS matrix_sparsity, levels,
+       CASE WHEN contains(levels, ',') THEN 'one-vs-rest per variant' ELSE 'none' END AS contrast_design
+FROM s
+"""
+ORACLES["analysis_warnings"] = """
+WITH l AS (SELECT count(DISTINCT trim(lang)) AS n FROM documents WHERE trim(lang) <> '')
+SELECT unnest(['topics_are_patterns', 'choices_matter', 'masking_is_partial', 'english_list']) AS code
+UNION ALL SELECT unnest(['variant_contrast', 'variant_prevalence']) FROM l WHERE n >= 2
+"""
+_selected = ORACLES["vocabulary_selection"].strip()
+_contrasted = ORACLES["variant_contrast"].strip()
+_k = TEXT.planned_topics
+ORACLES["evidence_csv_bundle"] = f"""
+WITH l AS (SELECT count(DISTINCT trim(lang)) AS n FROM documents WHERE trim(lang) <> '')
+SELECT 'vocabulary' AS "table", count(*) AS rows FROM ({_selected}) v
+UNION ALL SELECT 'variant_lexical_contrast', count(*) FROM ({_contrasted}) c
+UNION ALL SELECT unnest(['group_distribution', 'variant_topic_prevalence']), n FROM l
+UNION ALL SELECT * FROM (VALUES ('length_distribution', 7), ('group_lexical_contrast', 0),
+  ('topic_count_comparison', {min(8, max(5, _k + 2)) - 1}), ('topic_terms', {_k * TEXT.top_terms}),
+  ('topic_prevalence', {_k})) AS f(t, r)
+"""
+
 # --- sentiment and validation ---------------------------------------------
 
 _punctuation = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"

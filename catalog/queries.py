@@ -307,9 +307,10 @@ def lexical_tokens(spark, sf_dir):
 @registered
 def stopword_policy(spark, sf_dir):
     """How often each stopword of the policy occurs before removal."""
-    lexical = table(spark, sf_dir, "documents").select(F.explode(T.tokens(T.lexical("text"))).alias("word"))
+    lexical = table(spark, sf_dir, "documents").select(T.lexical("text").alias("lexical_text"))
+    found = lexical.select(T.tokens("lexical_text").alias("words")).select(F.explode("words").alias("word"))
     policy = spark.createDataFrame([(w,) for w in stopwords_of(TEXT)], "word string")
-    counted = lexical.groupBy("word").agg(F.count("*").alias("n"))
+    counted = found.groupBy("word").agg(F.count("*").alias("n"))
     return policy.join(counted, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("removed"))
 
 
@@ -640,9 +641,25 @@ def analysis_diagnostics(spark, sf_dir):
     return analysis(spark, sf_dir).diagnostics
 
 
+@registered
+def diagnostic_counts(spark, sf_dir):
+    """The part of the diagnostics that does not depend on the fitted topics."""
+    found = analysis(spark, sf_dir).diagnostics.select(
+        "source_rows",
+        "nonblank_documents",
+        "topic_model_documents",
+        "lexical_coverage",
+        "vocabulary_size",
+        "matrix_sparsity",
+        F.array_join("comparison_variant_levels", ",").alias("levels"),
+        "contrast_design",
+    )
+    return rounded(found, 6, "lexical_coverage", "matrix_sparsity")
+
+
 @registered
 def analysis_warnings(spark, sf_dir):
-    return analysis(spark, sf_dir).warnings
+    return analysis(spark, sf_dir).warnings.select("code")
 
 
 # --- sentiment and validation ---------------------------------------------

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterable
 
@@ -28,29 +29,38 @@ SNIPPET_LIMIT = 360
 SNIPPET_CUT = 357
 
 
+COMBINING = re.compile("[" + "".join(filter(unicodedata.combining, map(chr, range(sys.maxunicode)))) + "]+")
+
+
 def _clean(text: str) -> str:
     decoded = unicodedata.normalize("NFKC", html.unescape(text))
     return re.sub(r"\s+", " ", decoded).strip()
 
 
-def _without_accents(text: str) -> str:
+def _without_accents(text: str) -> str | None:
     split = unicodedata.normalize("NFKD", _clean(text).lower())
-    return "".join(ch for ch in split if not unicodedata.combining(ch))
+    return COMBINING.sub("", split) if split else None
 
 
 def _folded(text: str) -> str:
     return _clean(text).casefold()
 
 
-def _as_udf(convert: Callable[[str], str]):
+def _as_udf(convert: Callable[[str], str | None]):
+    """An Arrow-batched function the optimizer may neither repeat nor move below a repartition.
+
+    Without the mark, a filter on its result would be pushed to the scan and
+    the conversion run once there and once above.
+    """
+
     def batch(texts: pd.Series) -> pd.Series:
         return texts.map(convert, na_action="ignore")
 
     batch.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(batch, "string")
+    return F.pandas_udf(batch, "string").asNondeterministic()
 
 
-def _prepared(text: Column | str, convert: Callable[[str], str], ascii_form: Callable[[Column], Column]) -> Column:
+def _prepared(text: Column | str, convert: Callable[[str], str | None], ascii_form: Callable[[Column], Column]) -> Column:
     raw = F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
     needs_python = (F.octet_length(raw) != F.char_length(raw)) | F.contains(raw, F.lit("&"))
     plain = ascii_form(F.trim(F.regexp_replace(raw, ASCII_SPACE, " ")))
@@ -63,8 +73,8 @@ def normalized(text: Column | str) -> Column:
 
 
 def lexical(text: Column | str) -> Column:
-    """Normalised text, lower case, without accents: the input of tokenisation."""
-    return _prepared(text, _without_accents, F.lower)
+    """Normalised text, lower case, without accents: the input of tokenisation; null where blank."""
+    return _prepared(text, _without_accents, lambda c: F.lower(F.nullif(c, F.lit(""))))
 
 
 def folded(text: Column | str) -> Column:

@@ -46,16 +46,8 @@ def stopwords_of(config: TextConfig) -> list[str]:
 
 
 def token_table(keyed: DataFrame, config: TextConfig) -> DataFrame:
-    """``doc_key, label, tokens`` for non-blank documents, stopwords removed.
-
-    Blankness is the same on the lexical text: lower-casing and accent removal
-    are applied after normalisation and the blank test comes before both.
-    """
-    prepared = keyed.select(
-        "doc_key",
-        "label",
-        T.normalized("raw_text").alias("norm_text"),
-        T.lexical("raw_text").alias("lexical_text"),
-    ).filter(F.col("norm_text") != "")
-    words = prepared.select("doc_key", "label", T.tokens("lexical_text").alias("tokens"))
-    return words.withColumn("tokens", T.without_stopwords("tokens", stopwords_of(config)))
+    """``doc_key, label, tokens`` for non-blank documents, stopwords removed."""
+    prepared = keyed.select("doc_key", "label", T.lexical("raw_text").alias("lexical_text"))
+    words = prepared.filter(F.col("lexical_text").isNotNull())
+    found = words.select("doc_key", "label", T.tokens("lexical_text").alias("tokens"))
+    return found.withColumn("tokens", T.without_stopwords("tokens", stopwords_of(config)))

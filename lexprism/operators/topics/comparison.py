@@ -112,9 +112,8 @@ def fit_topics(
     if max(counts) >= min(documents, terms):
         raise DataProblem("The topic count must stay below the number of documents and of terms.")
     repeated = [(k, i) for k in counts for i in range(1, config.stability_iterations + 1)]
-    found = sample_limits(usable.select("doc_key"), repeated, documents, config.seed).collect()
-    last = {(r["k"], r["iteration"]): r["last"] for r in found}
-    limits = [(k, i, last[k, i]) for k, i in repeated]
+    found = sample_limits(usable.select("doc_key"), repeated, documents, config.seed)
+    limits = {fit: found[fit] for fit in repeated}
     rows = _fit_rows(usable, membership(F.col("doc_key"), limits, config.seed))
 
     full = full_spectrum(rows, terms, max(counts), config.seed)

@@ -17,9 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as S
 
 from ...config import FIT_TOLERANCE, MAX_FIT_ITERATIONS
-from .passes import BLOCK_CELLS, accumulate, blocks
+from .passes import BLOCK_CELLS, accumulate, blocks, chunks
 
-CHUNK_BYTES = 64 * 1024 * 1024
 TOPIC_SWEEPS = 4
 ROW_SWEEPS = 500
 ROW_TOLERANCE = 1e-9
@@ -127,7 +126,8 @@ def _one_pass(rows: DataFrame, fits: list[Fit], terms: int) -> list[tuple[np.nda
                 out[position] = np.concatenate([grams[f].ravel(), back[f]])
         return [out[position] for position in range(len(out))]
 
-    stats = accumulate(rows, len(fits), terms, block_stats)
+    lengths = [fit.topics * (fit.topics + terms) for fit in fits]
+    stats = accumulate(rows, terms, lengths, block_stats)
     broadcast.destroy()
     found = []
     for fit, flat in zip(fits, stats):
@@ -165,26 +165,12 @@ def _advance(fit: Fit, weight_gram: np.ndarray, weight_image: np.ndarray) -> Fit
     return replace(seen, components=ahead, settled=better, reach=min(1.0, fit.reach * MORE_REACH))
 
 
-def _chunks(fits: list[Fit]) -> Iterator[list[Fit]]:
-    """Groups of fits whose topics together stay within the size sent per pass."""
-    chunk: list[Fit] = []
-    size = 0
-    for fit in fits:
-        if chunk and size + fit.components.nbytes > CHUNK_BYTES:
-            yield chunk
-            chunk, size = [], 0
-        chunk.append(fit)
-        size += fit.components.nbytes
-    if chunk:
-        yield chunk
-
-
 def factorise(rows: DataFrame, fits: list[Fit]) -> list[Fit]:
     """Run every fit to convergence or the cap; finished fits drop out of later passes."""
     terms = fits[0].components.shape[1]
     done: list[Fit] = []
-    for chunk in _chunks(fits):
-        running = chunk
+    for chunk in chunks([fit.components.nbytes for fit in fits]):
+        running = fits[chunk]
         while running:
             stats = _one_pass(rows, running, terms)
             stepped = [_advance(fit, *found) for fit, found in zip(running, stats)]

@@ -1,8 +1,8 @@
 """One pass over the document rows for many fits at once.
 
 A task streams its rows in blocks, turns each block into a small dense array
-and adds up fixed-size statistics per fit. What leaves a task is one row per
-fit, never anything per document, and partial sums are added on the executors.
+and adds up fixed-size statistics per fit. What leaves a task is one packed
+array, never anything per document, and partial sums are added on the executors.
 """
 
 from __future__ import annotations
@@ -11,14 +11,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 BLOCK_CELLS = 6_000_000
+CHUNK_BYTES = 64 * 1024 * 1024
 SPREAD = 64
-PARTIAL_SCHEMA = "fit int, spread int, stats array<double>"
+PIECE = 65_536
+PARTIAL_SCHEMA = "piece int, spread int, stats binary"
 
 Block = tuple[np.ndarray, np.ndarray]
 
@@ -38,13 +37,47 @@ def blocks(batches: Iterator[pa.RecordBatch], terms: int) -> Iterator[Block]:
             yield dense, inside
 
 
+def chunks(sizes: list[int]) -> Iterator[slice]:
+    """Consecutive slices whose sizes in bytes add up to at most one chunk."""
+    first = held = 0
+    for position, size in enumerate(sizes):
+        if position > first and held + size > CHUNK_BYTES:
+            yield slice(first, position)
+            first, held = position, 0
+        held += size
+    if first < len(sizes):
+        yield slice(first, len(sizes))
+
+
+def _added(table: pa.Table) -> np.ndarray:
+    """Sum of the packed arrays in one group of partial sums."""
+    total: np.ndarray | None = None
+    for packed in table.column("stats"):
+        part = np.frombuffer(packed.as_buffer())
+        total = part.copy() if total is None else total + part
+    return total
+
+
+def _merge(partial: DataFrame, *keys: str) -> DataFrame:
+    def merged(table: pa.Table) -> pa.Table:
+        head = {key: table.column(key).slice(0, 1) for key in ("piece", "spread")}
+        return pa.table({**head, "stats": pa.array([_added(table).tobytes()], pa.binary())})
+
+    merged.__annotations__ = {"table": pa.Table, "return": pa.Table}
+    return partial.groupBy(*keys).applyInArrow(merged, PARTIAL_SCHEMA)
+
+
 def accumulate(
-    rows: DataFrame, fits: int, terms: int, block_stats: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]
+    rows: DataFrame,
+    terms: int,
+    lengths: list[int],
+    block_stats: Callable[[np.ndarray, np.ndarray], list[np.ndarray]],
 ) -> list[np.ndarray]:
-    """Sum ``block_stats`` (one flat array per fit) over all rows.
+    """Sum the arrays ``block_stats`` returns (of these lengths) over all rows.
 
-    The result is bounded by fits x topics x vocabulary, the driver-side size
-    the caller keeps below its chunk limit.
+    The result is bounded by fits x topics x vocabulary, which the caller keeps
+    below the chunk limit. Partial sums travel packed and cut into pieces of
+    equal length, so the adding is spread over tasks.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,24 +86,28 @@ def accumulate(
         sums: list[np.ndarray] | None = None
         for dense, inside in blocks(batches, terms):
             found = block_stats(dense, inside)
-            sums = found if sums is None else [a + b for a, b in zip(sums, found)]
+            if sums is None:
+                sums = found
+            else:
+                for held, new in zip(sums, found):
+                    held += new
         if sums is None:
             return
+        flat = np.concatenate(sums)
+        pieces = [flat[first : first + PIECE].tobytes() for first in range(0, len(flat), PIECE)]
         spread = TaskContext.get().partitionId() % SPREAD
-        for fit, stats in enumerate(sums):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([fit], pa.int32()),
-                    pa.array([spread], pa.int32()),
-                    pa.ListArray.from_arrays(pa.array([0, len(stats)], pa.int32()), pa.array(stats)),
-                ],
-                names=["fit", "spread", "stats"],
-            )
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(range(len(pieces)), pa.int32()),
+                pa.array([spread] * len(pieces), pa.int32()),
+                pa.array(pieces, pa.binary()),
+            ],
+            names=["piece", "spread", "stats"],
+        )
 
     partial = rows.select("indices", "weights", "member").mapInArrow(task, PARTIAL_SCHEMA)
-    vectors = partial.select("fit", "spread", array_to_vector("stats").alias("stats"))
     if rows.rdd.getNumPartitions() > SPREAD:
-        vectors = vectors.groupBy("fit", "spread").agg(Summarizer.sum(F.col("stats")).alias("stats"))
-    summed = vectors.groupBy("fit").agg(vector_to_array(Summarizer.sum(F.col("stats"))).alias("stats"))
-    collected = {row["fit"]: np.asarray(row["stats"]) for row in summed.collect()}
-    return [collected[fit] for fit in range(fits)]
+        partial = _merge(partial, "piece", "spread")
+    summed = _merge(partial, "piece").toArrow().sort_by("piece")
+    flat = np.concatenate([np.frombuffer(packed.as_buffer()) for packed in summed.column("stats")])
+    return np.split(flat, np.cumsum(lengths)[:-1])

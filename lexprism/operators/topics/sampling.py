@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ...config import SAMPLE_SHARE
 
-PREFIX_LENGTH = 4  # hexadecimal digits: 65,536 buckets per sample
+DIGITS_PER_STEP = 2  # hexadecimal: 256 buckets per sample and step
+RANKED_AT_ONCE = 10_000
+
+Fits = Sequence[tuple[int, int]]
 
 
 def sample_size(topics: int, documents: int) -> int:
@@ -23,50 +26,71 @@ def draw(doc_key: Column, topics: Column, iteration: Column, seed: int) -> Colum
     return F.md5(F.concat_ws(":", *parts))
 
 
-def sample_limits(keys: DataFrame, fits: Sequence[tuple[int, int]], documents: int, seed: int) -> DataFrame:
-    """``k, iteration, size, last``: the largest draw inside each sample.
-
-    Draws are counted by their leading digits; only the one bucket that holds
-    the boundary is ranked, a 65,536th of the documents on average.
-    """
-    wanted = F.inline(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(k).alias("k"), F.lit(i).alias("iteration"), F.lit(sample_size(k, documents)).cast("long").alias("size")
-                )
-                for k, i in fits
-            ]
-        )
-    )
-    drawn = keys.select("doc_key", wanted).select(
-        "k", "iteration", "size", draw(F.col("doc_key"), F.col("k"), F.col("iteration"), seed).alias("drawn")
+def _inside(keys: DataFrame, open_buckets: dict[tuple[int, int], str], seed: int) -> DataFrame:
+    """``k, iteration, drawn`` of the draws that start with the open bucket of their sample."""
+    listed = F.array(
+        *[
+            F.struct(F.lit(k).alias("k"), F.lit(i).alias("iteration"), F.lit(prefix).alias("prefix"))
+            for (k, i), prefix in open_buckets.items()
+        ]
     )
-    prefix = F.substring("drawn", 1, PREFIX_LENGTH)
-    buckets = drawn.groupBy("k", "iteration", "size", prefix.alias("prefix")).agg(F.count("*").alias("n"))
-    in_order = Window.partitionBy("k", "iteration").orderBy("prefix")
-    running = buckets.withColumn("upto", F.sum("n").over(in_order))
-    boundary = running.filter((F.col("upto") >= F.col("size")) & (F.col("upto") - F.col("n") < F.col("size"))).select(
-        "k", "iteration", "prefix", (F.col("size") - F.col("upto") + F.col("n")).alias("take")
+    drawn = F.transform(
+        listed,
+        lambda s: F.struct(
+            s["k"].alias("k"),
+            s["iteration"].alias("iteration"),
+            s["prefix"].alias("prefix"),
+            draw(F.col("doc_key"), s["k"], s["iteration"], seed).alias("drawn"),
+        ),
     )
-    # one row per sample: at most 7 topic counts x 50 repetitions
-    inside = drawn.withColumn("prefix", prefix).join(F.broadcast(boundary), ["k", "iteration", "prefix"])
-    rank = F.row_number().over(Window.partitionBy("k", "iteration").orderBy("drawn"))
-    last = inside.withColumn("rank", rank).filter(F.col("rank") == F.col("take"))
-    return last.select("k", "iteration", "size", F.col("drawn").alias("last"))
+    return keys.select("doc_key", F.inline(drawn)).filter(F.startswith("drawn", "prefix"))
 
 
-def membership(doc_key: Column, limits: Sequence[tuple[int, int, str]], seed: int) -> Column:
-    """One flag per sample, in the order of ``limits`` (k, iteration, last draw)."""
-    listed = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(last).alias("last")) for k, i, last in limits])
+def sample_limits(keys: DataFrame, fits: Fits, documents: int, seed: int) -> dict[tuple[int, int], str]:
+    """The largest draw inside each sample of the fixed size.
+
+    Draws are counted by their leading digits, then only inside the bucket that
+    holds the boundary, until that bucket is small enough to be ranked. A step
+    shuffles at most 256 rows per sample and task.
+    """
+    open_buckets = {fit: "" for fit in fits}
+    still = {(k, i): sample_size(k, documents) for k, i in fits}
+    largest = documents
+    digits = 0
+    while largest > RANKED_AT_ONCE or digits == 0:
+        digits += DIGITS_PER_STEP
+        bucket = F.substring("drawn", 1, digits).alias("bucket")
+        counted = _inside(keys, open_buckets, seed).groupBy("k", "iteration", bucket).agg(F.count("*").alias("n"))
+        by_fit: dict[tuple[int, int], list] = {}
+        for row in counted.orderBy("bucket").collect():
+            by_fit.setdefault((row["k"], row["iteration"]), []).append((row["bucket"], row["n"]))
+        largest = 0
+        for fit, buckets in by_fit.items():
+            for name, n in buckets:
+                if n >= still[fit]:
+                    open_buckets[fit] = name
+                    largest = max(largest, n)
+                    break
+                still[fit] -= n
+    takes = F.create_map(*[x for (k, i), n in still.items() for x in (F.lit(f"{k}:{i}"), F.lit(n))])
+    order = Window.partitionBy("k", "iteration").orderBy("drawn")
+    ranked = _inside(keys, open_buckets, seed).withColumn("rank", F.row_number().over(order))
+    last = ranked.filter(F.col("rank") == F.element_at(takes, F.concat_ws(":", "k", "iteration")))
+    return {(row["k"], row["iteration"]): row["drawn"] for row in last.collect()}
+
+
+def membership(doc_key: Column, limits: dict[tuple[int, int], str], seed: int) -> Column:
+    """One flag per sample, in the order of ``limits``."""
+    listed = F.array(
+        *[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(last).alias("last")) for (k, i), last in limits.items()]
+    )
     return F.transform(listed, lambda s: draw(doc_key, s["k"], s["i"], seed) <= s["last"])
 
 
-def sampled_documents(keys: DataFrame, fits: Sequence[tuple[int, int]], seed: int) -> DataFrame:
+def sampled_documents(keys: DataFrame, fits: Fits, seed: int) -> DataFrame:
     """``k, iteration, doc_key`` of every document in every sample."""
-    limits = sample_limits(keys, fits, keys.count(), seed).collect()
-    rows = [(r["k"], r["iteration"], r["last"]) for r in limits]
-    named = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("iteration")) for k, i, _ in rows])
-    flags = membership(F.col("doc_key"), rows, seed)
+    limits = sample_limits(keys, fits, keys.count(), seed)
+    named = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("iteration")) for k, i in limits])
+    flags = membership(F.col("doc_key"), limits, seed)
     inside = F.filter(F.arrays_zip(named.alias("fit"), flags.alias("inside")), lambda x: x["inside"])
     return keys.select("doc_key", F.inline(inside)).select("fit.k", "fit.iteration", "doc_key")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .passes import accumulate
+from .passes import accumulate, chunks
 
 OVERSAMPLE = 10
 SAMPLE_OVERSAMPLE = 3
@@ -62,7 +62,8 @@ def _subspace_step(rows: DataFrame, bases: list[np.ndarray], samples: list[int])
             out.append(np.concatenate([heads[f], gram.ravel(), back[part].ravel()]))
         return out
 
-    stats = accumulate(rows, len(bases), terms, block_stats)
+    widths = [basis.shape[1] for basis in bases]
+    stats = accumulate(rows, terms, [3 + p * p + p * terms for p in widths], block_stats)
     broadcast.destroy()
     found = []
     for basis, flat in zip(bases, stats):
@@ -71,7 +72,7 @@ def _subspace_step(rows: DataFrame, bases: list[np.ndarray], samples: list[int])
         squares, turn = np.linalg.eigh((gram + gram.T) / 2)
         order = np.argsort(squares)[::-1]
         values = np.sqrt(np.maximum(squares[order], 0.0))
-        spectrum = Spectrum(values, basis @ turn[:, order], *head)
+        spectrum = Spectrum(values, basis @ turn[:, order], *(float(x) for x in head))
         following, _ = np.linalg.qr((turn[:, order].T @ back).T)
         found.append((spectrum, following))
     return found
@@ -92,22 +93,20 @@ def full_spectrum(rows: DataFrame, terms: int, topics: int, seed: int) -> Spectr
 
 def sample_spectra(rows: DataFrame, full: Spectrum, topics: list[int]) -> list[Spectrum]:
     """One spectrum per sample flag; ``topics[i]`` belongs to flag ``i``."""
+    flags = list(range(len(topics)))
     bases = [full.vectors[:, : k + SAMPLE_OVERSAMPLE] for k in topics]
-    found: list[tuple[Spectrum, np.ndarray]] = []
-    for _ in range(SAMPLE_STEPS):
-        found = _subspace_step(rows, bases, list(range(len(topics))))
-        bases = [following for _, following in found]
-    return [spectrum for spectrum, _ in found]
-
-
-def starting_topics(rows: DataFrame, spectra: list[Spectrum], topics: list[int], samples: list[int]) -> list[np.ndarray]:
-    """Non-negative topic-term rows per fit; cells left at zero get the mean entry.
-
-    Of each singular pair the heavier sign is kept, judged on both its document
-    and its term side; the document side takes one more pass.
-    """
-    terms = spectra[0].vectors.shape[0]
-    vectors = [s.vectors[:, :k] for s, k in zip(spectra, topics)]
+    spectra: list[Spectrum] = []
+    for part in chunks([basis.nbytes for basis in bases]):
+        following = bases[part]
+        for _ in range(SAMPLE_STEPS):
+            found = _subspace_step(rows, following, flags[part])
+            following = [basis for _, basis in found]
+        spectra += [spectrum for spectrum, _ in found]
+    return spectra
+
+
+def _side_masses(rows: DataFrame, vectors: list[np.ndarray], samples: list[int]) -> list[np.ndarray]:
+    """Squared length of the positive, then the negative part of each document-side vector."""
     broadcast = rows.sparkSession.sparkContext.broadcast((vectors, samples))
 
     def block_stats(dense: np.ndarray, inside: np.ndarray) -> list[np.ndarray]:
@@ -120,19 +119,35 @@ def starting_topics(rows: DataFrame, spectra: list[Spectrum], topics: list[int],
             out.append(np.concatenate([(np.maximum(part, 0) ** 2).sum(axis=0), (np.minimum(part, 0) ** 2).sum(axis=0)]))
         return out
 
-    sides = accumulate(rows, len(vectors), terms, block_stats)
+    lengths = [2 * v.shape[1] for v in vectors]
+    sides = accumulate(rows, vectors[0].shape[0], lengths, block_stats)
     broadcast.destroy()
+    return sides
+
+
+def starting_topics(
+    rows: DataFrame, spectra: list[Spectrum], topics: list[int], samples: list[int]
+) -> list[np.ndarray]:
+    """Non-negative topic-term rows per fit; cells left at zero get the mean entry.
+
+    Of each singular pair the heavier sign is kept, judged on both its document
+    and its term side; the document side takes one more pass.
+    """
+    vectors = [s.vectors[:, :k] for s, k in zip(spectra, topics)]
+    sides: list[np.ndarray] = []
+    for part in chunks([v.nbytes for v in vectors]):
+        sides += _side_masses(rows, vectors[part], samples[part])
     starts = []
     for spectrum, right, k, side in zip(spectra, vectors, topics, sides):
         scale = np.maximum(spectrum.values[:k], TINY)
         left_up, left_down = np.sqrt(side[:k]) / scale, np.sqrt(side[k:]) / scale
-        begin = np.zeros((k, terms))
+        begin = np.zeros((k, len(right)))
         begin[0] = np.sqrt(scale[0]) * np.abs(right[:, 0])
         for j in range(1, k):
             up, down = np.maximum(right[:, j], 0), np.maximum(-right[:, j], 0)
             mass_up, mass_down = left_up[j] * np.linalg.norm(up), left_down[j] * np.linalg.norm(down)
             side_kept, mass = (up, mass_up) if mass_up > mass_down else (down, mass_down)
             begin[j] = np.sqrt(scale[j] * mass) * side_kept / max(np.linalg.norm(side_kept), TINY)
-        begin[begin < TINY] = spectrum.entry_sum / (spectrum.documents * terms)
+        begin[begin < TINY] = spectrum.entry_sum / (spectrum.documents * len(right))
         starts.append(begin)
     return starts
