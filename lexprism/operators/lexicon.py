@@ -38,7 +38,7 @@ NEGATING = tuple(
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """``word, valence`` from tab-separated lines: word, mean valence, anything further."""
     lines = spark.read.option("sep", "\t").option("quote", "").csv(path)
-    return lines.select(F.col("_c0").alias("word"), F.col("_c1").cast("double").alias("valence")).dropna()
+    return lines.select(F.col("_c0").alias("word"), F.col("_c1").try_cast("double").alias("valence")).dropna()
 
 
 def _in_task_lookup(words: list[str], valences: list[float]):
