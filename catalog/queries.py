@@ -23,7 +23,7 @@ from lexprism.operators.topics import tables as P
 from lexprism.plans.sentiment import scored_documents, sentiment_warnings
 from lexprism.plans.evidence import write_csv_evidence, write_json_evidence
 from lexprism.plans.text_analysis import analyze_text
-from lexprism.session import materialise, pin_utc, scratch_path
+from lexprism.session import evened, materialise, pin_utc, scratch_path
 from lexprism.sources import readers as R
 from lexprism.sources import writers as W
 
@@ -121,7 +121,7 @@ def described_documents(spark, sf_dir) -> DataFrame:
     """Documents with an order date as time and labels as human marks."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    documents = evened(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return documents.join(orders, "doc_id", "left").join(labels, "doc_id", "left")
 
 
@@ -135,7 +135,7 @@ def scores(spark, sf_dir):
 def event_scores(spark, sf_dir):
     """Scores of documents next to the time of the event with the same number."""
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts", "event_type")
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text").join(events, "doc_id", "left")
+    documents = evened(table(spark, sf_dir, "documents").select("doc_id", "text")).join(events, "doc_id", "left")
     config = SentimentConfig("text", time_column="ts", dimensions=("event_type",))
     return materialise(scored_documents(documents, config, lexicon(spark), "doc_id", RULES), "scores")
 

@@ -50,12 +50,13 @@ RULES = ScoreRules()
 def with_words(documents: DataFrame) -> DataFrame:
     """Split on blanks; strip punctuation from both ends unless under three characters stay."""
 
-    def bare(token: Column) -> Column:
-        stripped = F.btrim(token, F.lit(PUNCTUATION))
-        return F.when(F.char_length(stripped) <= 2, token).otherwise(stripped)
+    def kept(token: Column, bare: Column) -> Column:
+        return F.when(F.char_length(bare) <= 2, token).otherwise(bare)
 
-    cased = F.transform(F.split("norm_text", " "), bare)
-    return documents.withColumn("cased", cased).withColumn("words", F.transform("cased", F.lower))
+    split = documents.withColumn("_split", F.split("norm_text", " "))
+    bare = F.transform("_split", lambda token: F.btrim(token, F.lit(PUNCTUATION)))
+    cased = split.withColumn("cased", F.zip_with("_split", bare, kept)).drop("_split")
+    return cased.withColumn("words", F.transform("cased", F.lower))
 
 
 def _token_facts(rules: ScoreRules) -> Column:

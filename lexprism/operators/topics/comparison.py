@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +19,6 @@ from .start import full_spectrum, sample_spectra, starting_topics
 from .tables import component_entries, top_term_diversity
 
 TASKS_PER_SLOT = 3
-COMPONENT_SCHEMA = "k int, topic int, weights array<double>"
-PAIR_SCHEMA = "k int, iteration int, reference array<array<double>>, candidate array<array<double>>"
 ERROR_SCHEMA = "k int, relative_reconstruction_error double"
 
 
@@ -43,23 +43,26 @@ class TopicModel:
     def planned_fit(self) -> Fit:
         return self.fits[self.planned, 0]
 
+    def _topic_rows(self, spark: SparkSession, fits: list[tuple[int, int]]) -> DataFrame:
+        """``k, iteration, topic, weights`` of some fits."""
+        numbered = [(k, i, topic + 1) for k, i in fits for topic in range(k)]
+        vectors = np.vstack([self.fits[fit].components for fit in fits])
+        bounds = np.arange(0, vectors.size + 1, vectors.shape[1])
+        columns = {
+            name: pa.array([row[at] for row in numbered], pa.int32()) for at, name in enumerate(("k", "iteration", "topic"))
+        }
+        weights = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(vectors.ravel()))
+        return spark.createDataFrame(pa.table({**columns, "weights": weights}))
+
     def components(self, spark: SparkSession) -> DataFrame:
         """``k, topic, weights`` of the full-corpus fits."""
-        rows = [
-            (k, topic + 1, weights.tolist())
-            for (k, iteration), fit in self.fits.items()
-            if iteration == 0
-            for topic, weights in enumerate(fit.components)
-        ]
-        return spark.createDataFrame(rows, COMPONENT_SCHEMA)
+        return self._topic_rows(spark, [(k, 0) for k in self.counts]).drop("iteration")
 
     def pairs(self, spark: SparkSession) -> DataFrame:
-        rows = [
-            (k, iteration, self.fits[k, 0].components.tolist(), fit.components.tolist())
-            for (k, iteration), fit in self.fits.items()
-            if iteration > 0
-        ]
-        return spark.createDataFrame(rows, PAIR_SCHEMA)
+        """Topics of every repetition next to the full-corpus topic of the same number."""
+        repeated = self._topic_rows(spark, [fit for fit in self.fits if fit[1] > 0])
+        full = self.components(spark).withColumnRenamed("weights", "reference")
+        return repeated.withColumnRenamed("weights", "candidate").join(F.broadcast(full), ["k", "topic"])
 
     def aligned(self, spark: SparkSession) -> DataFrame:
         return align(self.pairs(spark))

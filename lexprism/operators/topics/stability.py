@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,25 +34,24 @@ def best_matching(similarity: np.ndarray) -> list[int]:
     return list(best[(1 << k) - 1][1])
 
 
-def _unit_rows(components: list) -> np.ndarray:
+def _unit_rows(components: Iterable) -> np.ndarray:
     rows = np.vstack([np.asarray(row, dtype=float) for row in components])
     length = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(length > 0, length, 1.0)
 
 
 def align(pairs: DataFrame) -> DataFrame:
-    """``k, iteration, topic, similarity`` from one row of topic pairs per repetition.
+    """``k, iteration, topic, similarity`` of the matched topics of each repetition.
 
-    ``reference`` and ``candidate`` are arrays of at most eight topic rows.
+    ``pairs`` has one row per repetition and topic number (at most eight) with
+    the ``reference`` and the ``candidate`` topic of that number.
     """
 
     def matched(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in pdf.itertuples():
-            similarity = _unit_rows(row.reference) @ _unit_rows(row.candidate).T
-            for topic, column in enumerate(best_matching(similarity)):
-                out.append((row.k, row.iteration, topic + 1, similarity[topic, column]))
-        return pd.DataFrame(out, columns=["k", "iteration", "topic", "similarity"])
+        ordered = pdf.sort_values("topic")
+        similarity = _unit_rows(ordered["reference"]) @ _unit_rows(ordered["candidate"]).T
+        chosen = similarity[np.arange(len(similarity)), best_matching(similarity)]
+        return ordered[["k", "iteration", "topic"]].assign(similarity=chosen)
 
     return pairs.groupBy("k", "iteration").applyInPandas(matched, ALIGNED_SCHEMA)
 

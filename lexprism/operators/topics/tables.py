@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ...functions import text as T
 from ...functions.arrays import bind, total
@@ -128,11 +129,20 @@ def top_documents(shares: DataFrame) -> DataFrame:
 
 
 def representatives(shares: DataFrame, texts: DataFrame) -> DataFrame:
-    """Masked snippets of the top documents. For local reading only, never exported."""
-    top = top_documents(shares)
+    """Masked snippets of the top documents. For local reading only, never exported.
+
+    The at most 3 x 8 keys are looked up first, so the scan of the texts can
+    skip what holds none of them.
+    """
+    top = top_documents(shares).collect()
+    listed = shares.sparkSession.createDataFrame(
+        top, S.StructType([S.StructField("topic", S.IntegerType()), S.StructField("rank", S.IntegerType()),
+                           shares.schema["doc_key"], S.StructField("topic_weight", S.DoubleType())])
+    )
+    wanted = texts.filter(F.col("doc_key").isin([row["doc_key"] for row in top]))
     return (
-        texts.select("doc_key", "raw_text")
-        .join(F.broadcast(top), "doc_key")  # at most 3 x 8 rows
+        wanted.select("doc_key", "raw_text")
+        .join(F.broadcast(listed), "doc_key")
         .orderBy("topic", "rank")
         .select(
             topic_name(F.col("topic")).alias("topic"),

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SMALL_PER_SLOT = 16 * 1024 * 1024
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder the cluster names in spark.checkpoint.dir.
@@ -34,12 +36,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def evened(df: DataFrame) -> DataFrame:
-    """Spread an input of few splits over the task slots.
+    """Spread a small input, which may be a single file split, over the task slots.
 
-    A large input has more splits than slots and is returned as it is.
+    Decided on the planner's size estimate, so nothing runs for it; a large
+    input already has more splits than slots and is returned as it is.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if 2 * df.rdd.getNumPartitions() <= slots else df
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(slots) if estimate <= slots * SMALL_PER_SLOT else df
 
 
 def pin_utc(spark: SparkSession) -> None:

@@ -198,7 +198,9 @@ def test_alignment_undoes_a_permutation(spark):
     rng = np.random.default_rng(1)
     reference = rng.random((3, 20))
     shuffled = reference[[2, 0, 1]] * 5
-    pairs = spark.createDataFrame([(3, 1, reference.tolist(), shuffled.tolist())], N.PAIR_SCHEMA)
+    listed = [(3, 1, t + 1, reference[t].tolist(), shuffled[t].tolist()) for t in (1, 2, 0)]
+    schema = "k int, iteration int, topic int, reference array<double>, candidate array<double>"
+    pairs = spark.createDataFrame(listed, schema)
     rows = B.align(pairs).collect()
     assert sorted(r["topic"] for r in rows) == [1, 2, 3]
     assert [r["similarity"] for r in rows] == pytest.approx([1.0] * 3)
