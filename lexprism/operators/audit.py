@@ -68,7 +68,7 @@ def availability(profile: DataFrame) -> DataFrame:
         F.count("*").alias("source_rows"),
         F.count_if("filled").alias("analyzable_documents"),
         F.count_if(~F.col("filled")).alias("blank_documents"),
-        (F.count_if(~F.col("filled")) / F.count("*")).alias("blank_rate"),
+        F.try_divide(F.count_if(~F.col("filled")), F.count("*")).alias("blank_rate"),
         F.count_if(F.col("words") < SHORT_DOCUMENT_WORDS).alias("documents_below_five_words"),
         F.count_if("email").alias("documents_with_possible_email"),
         F.count_if("phone").alias("documents_with_possible_phone"),

@@ -77,7 +77,8 @@ def accumulate(
 
     The result is bounded by fits x topics x vocabulary, which the caller keeps
     below the chunk limit. Partial sums travel packed and cut into pieces of
-    equal length, so the adding is spread over tasks.
+    equal length, so the adding is spread over tasks. Only where all partial
+    sums together stay below the limit are they added on the driver.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +107,14 @@ def accumulate(
         )
 
     partial = rows.select("indices", "weights", "member").mapInArrow(task, PARTIAL_SCHEMA)
-    if rows.rdd.getNumPartitions() > SPREAD:
-        partial = _merge(partial, "piece", "spread")
-    summed = _merge(partial, "piece").toArrow().sort_by("piece")
-    flat = np.concatenate([np.frombuffer(packed.as_buffer()) for packed in summed.column("stats")])
+    partitions, size = rows.rdd.getNumPartitions(), sum(lengths)
+    if partitions * size * 8 > CHUNK_BYTES:
+        if partitions > SPREAD:
+            partial = _merge(partial, "piece", "spread")
+        partial = _merge(partial, "piece")
+    flat = np.zeros(size)
+    for batch in partial.toArrow().to_batches():
+        for piece, packed in zip(batch.column("piece").to_pylist(), batch.column("stats")):
+            part = np.frombuffer(packed.as_buffer())
+            flat[piece * PIECE : piece * PIECE + len(part)] += part
     return np.split(flat, np.cumsum(lengths)[:-1])

@@ -17,8 +17,8 @@ from .passes import accumulate, chunks
 OVERSAMPLE = 10
 SAMPLE_OVERSAMPLE = 3
 FULL_STEPS = 8
-SAMPLE_STEPS = 3
-STEADY = 1e-5
+SAMPLE_STEPS = 2
+STEADY = 1e-4
 TINY = 1e-6
 
 

@@ -198,7 +198,7 @@ def coverage(matrix: DataFrame) -> DataFrame:
     return matrix.agg(
         F.count("*").alias("nonblank_documents"),
         usable.alias("usable_documents"),
-        (usable / F.count("*")).alias("lexical_coverage"),
+        F.try_divide(usable, F.count("*")).alias("lexical_coverage"),
     )
 
 

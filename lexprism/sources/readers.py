@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -44,10 +43,12 @@ def _quoted(name: str) -> str:
 def checked_shape(df: DataFrame, max_rows: int | None = None, max_columns: int | None = None) -> DataFrame:
     """Trim column names; refuse empty, blank-named, doubled or oversized tables.
 
-    Names that differ in case only are different columns, as in the source.
+    Names that differ in case only are different columns, as in the source; the
+    session is switched to case-sensitive names where a table has such columns.
     """
-    df.sparkSession.conf.set("spark.sql.caseSensitive", "true")
     names = [name.strip() for name in df.columns]
+    if len({name.lower() for name in names}) < len(set(names)):
+        df.sparkSession.conf.set("spark.sql.caseSensitive", "true")
     if max_columns is not None and len(names) > max_columns:
         raise DataProblem(f"The table has {len(names)} columns; at most {max_columns} are allowed.")
     if not all(names):

@@ -169,6 +169,7 @@ def test_many_partial_sums_are_added_in_two_levels(spark, planted_matrix, monkey
     vocabulary, matrix = planted_matrix
     x = dense(vocabulary, matrix)
     monkeypatch.setattr(passes, "SPREAD", 2)
+    monkeypatch.setattr(passes, "CHUNK_BYTES", 0)
     monkeypatch.setattr(passes, "PIECE", 50)
     rows = fit_rows(matrix, 5)
     found = passes.accumulate(rows, x.shape[1], [x.shape[1], 1], lambda d, m: [d.sum(axis=0), np.array([float(len(d))])])
