@@ -9,8 +9,6 @@ through JVM expressions alone.
 from __future__ import annotations
 
 import html
-import re
-import sys
 import unicodedata
 from collections.abc import Callable, Iterable
 
@@ -24,22 +22,24 @@ TOKEN = r"(?<![\p{L}\p{N}_])[\p{L}\p{Nl}\p{No}][\p{L}\p{N}_'-]*[\p{L}\p{N}_]"
 EMAIL = r"(?iU)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 URL = r"(?iU)\b(?:https?://|www\.)\S+\b"
 PHONE = r"(?U)(?<!\w)(?:\+?\d[\d .()/-]{6,}\d)(?!\w)"
-ASCII_SPACE = r"[\t-\r\x1c-\x20]+"
+ASCII_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 SNIPPET_LIMIT = 360
 SNIPPET_CUT = 357
 
 
-COMBINING = re.compile("[" + "".join(filter(unicodedata.combining, map(chr, range(sys.maxunicode)))) + "]+")
-
-
 def _clean(text: str) -> str:
     decoded = unicodedata.normalize("NFKC", html.unescape(text))
-    return re.sub(r"\s+", " ", decoded).strip()
+    return " ".join(decoded.split())
 
 
 def _without_accents(text: str) -> str | None:
-    split = unicodedata.normalize("NFKD", _clean(text).lower())
-    return COMBINING.sub("", split) if split else None
+    cleaned = _clean(text)
+    if not cleaned:
+        return None
+    split = unicodedata.normalize("NFKD", cleaned.lower())
+    for mark in filter(unicodedata.combining, set(split)):
+        split = split.replace(mark, "")
+    return split
 
 
 def _folded(text: str) -> str:
@@ -60,10 +60,19 @@ def _as_udf(convert: Callable[[str], str | None]):
     return F.pandas_udf(batch, "string").asNondeterministic()
 
 
+def _single_spaced(raw: Column) -> Column:
+    """White space of an ASCII text collapsed and trimmed; plain replacements outrun a pattern here."""
+    spaced = raw
+    for mark in ASCII_SPACES:
+        spaced = F.replace(spaced, F.lit(mark), F.lit(" "))
+    doubled = F.contains(spaced, F.lit("  "))
+    return F.trim(F.when(doubled, F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced))
+
+
 def _prepared(text: Column | str, convert: Callable[[str], str | None], ascii_form: Callable[[Column], Column]) -> Column:
     raw = F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
     needs_python = (F.octet_length(raw) != F.char_length(raw)) | F.contains(raw, F.lit("&"))
-    plain = ascii_form(F.trim(F.regexp_replace(raw, ASCII_SPACE, " ")))
+    plain = ascii_form(_single_spaced(raw))
     return F.when(needs_python, _as_udf(convert)(F.when(needs_python, raw))).otherwise(plain)
 
 

@@ -46,6 +46,11 @@ def test_null_is_blank_and_lexical_of_blank_is_null(spark):
     assert [tuple(r) for r in got] == [("", None, "")] * 3
 
 
+def test_a_text_of_marks_only_is_not_blank(spark):
+    df = spark.createDataFrame([("\u0301",)], "text string")
+    assert df.select(T.lexical("text").alias("l")).first()["l"] == ""
+
+
 def test_lexical_and_folded_forms(spark):
     df = spark.createDataFrame([("ÉTÉ Straße",), ("Plain TEXT",)], "text string")
     got = df.select(T.lexical("text").alias("l"), T.folded("text").alias("f")).collect()
