@@ -13,10 +13,11 @@ import unicodedata
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .stopwords import ENGLISH
+
 # Patterns that decide tokens, contact flags and masks.
 TOKEN = r"(?<![\p{L}\p{N}_])[\p{L}\p{Nl}\p{No}][\p{L}\p{N}_'-]*[\p{L}\p{N}_]"
 EMAIL = r"(?iU)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
@@ -127,7 +128,7 @@ def tokens(lexical_text: Column | str) -> Column:
 
 def english_stopwords() -> tuple[str, ...]:
     """Spark's own English list."""
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
+    return tuple(ENGLISH)
 
 
 def stopword_list(english: Iterable[str], custom: Iterable[str]) -> list[str]:
