@@ -5,9 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import ASSISTANT, format_examples, read_back
+from .exact_search import top_k
+from .language import predict_languages, train_languages
+from .mixing import mix_sources
 from .packing import pack
+from .quality import in_fold, score_quality, train_quality
+from .secrets import BASE, scan_secrets, span_list
+from .simhash import near_duplicates
+from .sketches import containment, fingerprint_edits, resemblance, sketch_text
 from .token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,11 +34,124 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@registered
+def op1_exact_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors.where("vec_id % 100 = 0"), vectors)
+
+
+ORACLES["op1_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(coalesce(list_sum(list_transform(range(1, least(len(q.w), len(c.w)) + 1), lambda i: q.w[i] * c.w[i])), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 @registered
 def op2_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+@registered
+def op3_source_mixing(spark, sf_dir):
+    drawn = mix_sources(table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", "source", "mix_copy", "mix_block", "mix_tokens", "mix_weight")
+
+
+@registered
+def op4_quality(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = train_quality(documents, table(spark, sf_dir, "labels"))
+    scored = score_quality(documents, model)
+    return scored.select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+@registered
+def op5_document_fingerprints(spark, sf_dir):
+    found = fingerprint_edits(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+        sketch_text(F.col("sketch")).alias("fingerprint"), sketch_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        containment(F.col("sketch"), F.col("edited_sketch")).alias("within_edited"),
+    )
+
+
+@registered
+def op6_chat_formatting(spark, sf_dir):
+    said = F.lit("\\### Assistant: </turn> ok")
+    added = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise(ASSISTANT).alias("role"), said.alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    found = read_back(format_examples(rows))
+    every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    trained = F.array_join("replies", "")
+    return found.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"),
+        F.char_length(trained).cast("long").alias("loss_chars"), F.sha2(trained, 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+ORACLES["op6_chat_formatting"] = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), placed AS (
+  SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+         sum(length('<turn >' || chr(10) || '</turn>' || chr(10)) + length(role) + length(text)
+             + len(regexp_extract_all(role || text, '[\\<>]'))) OVER w AS so_far
+  FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id, max(n) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(so_far) FILTER (WHERE role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
+
+
 @registered
 def op7_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
+
+
+@registered
+def op8_language_id(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    found = predict_languages(documents, train_languages(documents))
+    return found.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@registered
+def op9_simhash_near_duplicates(spark, sf_dir):
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@registered
+def op10_secret_scan(spark, sf_dir):
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("findings", lambda f: f["kind"].isin(*kinds))
+
+    base = of(*BASE)
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in BASE]
+    return found.select(
+        "doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("findings")).alias("spans")
+    )
