@@ -13,6 +13,7 @@ from ..session import materialise
 MAX_SOURCES = 10_000
 BLOCK_DOCUMENTS = 10_000
 HALVINGS = 60
+ADDED = ("mix_copy", "mix_block", "mix_tokens", "mix_weight")
 
 
 def tempered(shares: Sequence[float], exponent: float) -> list[float]:
@@ -93,28 +94,28 @@ def mix_sources(
     from 0 and is the document's how-manyeth copy.
 
     Null sources are a source of their own; null and empty texts count one
-    token. Rows equal in every column are drawn together. An empty table gives an empty result. At most
-    10,000 sources (refused beyond). Sources are cut into blocks before anything
+    token. Rows equal in every column are drawn together. An empty table gives an empty result. Columns
+    of ``df`` with the four added names give way. At most 10,000 sources (refused beyond). Sources are cut into blocks before anything
     is ordered, so one that holds most rows is spread like the others.
     """
-    clash = {"mix_copy", "mix_block", "mix_tokens", "mix_weight"} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are taken")
     tokens = word_total("text") if tokens is None else tokens
     draw = F.xxhash64(F.col(id_column).cast("string"), F.lit(seed))
-    same = F.xxhash64(*_plain(df))
     named = F.coalesce(F.col(source).cast("string"), F.lit("\0null"))
-    keyed = df.withColumns({"mix_tokens": tokens, "__draw": draw, "__same": same, "__source": named})
+    keyed = df.select(  # whole rows stay in one column, so their names meet none of ours
+        F.struct(*[F.col(f"`{name}`") for name in df.columns]).alias("row"), tokens.cast("long").alias("mix_tokens"),
+        draw.alias("draw"), F.xxhash64(*_plain(df)).alias("same"), named.alias("named"),
+    )
 
-    sized = keyed.groupBy("__source").agg(F.sum("mix_tokens").alias("total"), F.count("*").alias("documents"))
-    totals = sized.orderBy("__source").take(MAX_SOURCES + 1)
+    sized = keyed.groupBy("named").agg(F.sum("mix_tokens").alias("total"), F.count("*").alias("documents"))
+    totals = sized.orderBy("named").take(MAX_SOURCES + 1)
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     spark = df.sparkSession
-    plan = "__source string, mix_weight double, passes long, rest long, blocks long"
+    plan = "named string, mix_weight double, passes long, rest long, blocks long"
+    kept = [f"`{name}`" for name in df.columns if name not in ADDED]
     if not totals:
         nothing = {"mix_copy": "int", "mix_block": "long", "mix_tokens": "long", "mix_weight": "double"}
-        return df.withColumns({name: F.lit(0).cast(kind) for name, kind in nothing.items()})
+        return df.select(*kept, *[F.lit(0).cast(kind).alias(name) for name, kind in nothing.items()])
     whole = sum(r["total"] for r in totals)
     shares = [r["total"] / whole for r in totals]
     weights = tempered(shares, exponent_for(shares, target_entropy, most_repeats))
@@ -125,39 +126,39 @@ def mix_sources(
             goal = r["total"] if k == least else max(r["total"], round(totals[least]["total"] / weights[least] * weight))
         else:
             goal = round(budget_tokens * weight)
-        rows.append((r["__source"], weight, goal // r["total"], goal % r["total"], -(-r["documents"] // BLOCK_DOCUMENTS)))
+        rows.append((r["named"], weight, goal // r["total"], goal % r["total"], -(-r["documents"] // BLOCK_DOCUMENTS)))
     budgets = F.broadcast(spark.createDataFrame(rows, plan))  # one row for each source
 
-    narrow = keyed.select("__source", "__draw", "__same", "mix_tokens").join(budgets, "__source").where("rest > 0")
-    narrow = materialise(narrow.withColumn("mix_block", F.pmod("__draw", F.col("blocks"))), "mix-rows")
-    held = narrow.groupBy("__source", "mix_block").agg(F.sum("mix_tokens").alias("held"), F.first("rest").alias("rest"))
-    before = Window.partitionBy("__source").orderBy("place", "mix_block").rowsBetween(Window.unboundedPreceding, -1)
+    narrow = keyed.select("named", "draw", "same", "mix_tokens").join(budgets, "named").where("rest > 0")
+    narrow = materialise(narrow.withColumn("mix_block", F.pmod("draw", F.col("blocks"))), "mix-rows")
+    held = narrow.groupBy("named", "mix_block").agg(F.sum("mix_tokens").alias("held"), F.first("rest").alias("rest"))
+    before = Window.partitionBy("named").orderBy("place", "mix_block").rowsBetween(Window.unboundedPreceding, -1)
     begun = held.withColumn("place", _block_place(seed)).withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0)))
     begun = begun.where("before < rest").select(
-        "__source", F.struct("place", "mix_block", (F.col("rest") - F.col("before")).alias("room")).alias("at")
+        "named", F.struct("place", "mix_block", (F.col("rest") - F.col("before")).alias("room")).alias("at")
     )
-    ends = F.broadcast(materialise(begun.groupBy("__source").agg(F.max("at").alias("at")), "mix-ends"))  # one row for each source
+    ends = F.broadcast(materialise(begun.groupBy("named").agg(F.max("at").alias("at")), "mix-ends"))  # one row for each source
 
-    within = Window.partitionBy("__source").orderBy("__draw", "__same").rowsBetween(Window.unboundedPreceding, -1)
-    ending = narrow.join(ends, "__source").where("mix_block = at.mix_block")  # one block for each source
+    within = Window.partitionBy("named").orderBy("draw", "same").rowsBetween(Window.unboundedPreceding, -1)
+    ending = narrow.join(ends, "named").where("mix_block = at.mix_block")  # one block for each source
     ending = ending.withColumn("spent", F.coalesce(F.sum("mix_tokens").over(within), F.lit(0))).where("spent < at.room")
-    last = ending.groupBy("__source").agg(F.max(F.struct("at.place", "at.mix_block", "__draw", "__same")).alias("last"))
+    last = ending.groupBy("named").agg(F.max(F.struct("at.place", "at.mix_block", "draw", "same")).alias("last"))
     last = F.broadcast(materialise(last, "mix-last"))
 
-    out = keyed.join(budgets, "__source").join(last, "__source", "left").withColumn("mix_block", F.pmod("__draw", F.col("blocks")))
-    own = F.struct(_block_place(seed).alias("place"), "mix_block", "__draw", "__same")
+    out = keyed.join(budgets, "named").join(last, "named", "left").withColumn("mix_block", F.pmod("draw", F.col("blocks")))
+    own = F.struct(_block_place(seed).alias("place"), "mix_block", "draw", "same")
     extra = F.coalesce(own <= F.col("last"), F.lit(False))
     copies = (F.col("passes") + extra.cast("long")).cast("int")
-    out = out.withColumn("__copies", copies).where("__copies > 0")
-    out = out.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-    return out.select(*df.columns, "mix_copy", "mix_block", "mix_tokens", "mix_weight")
+    out = out.withColumn("copies", copies).where("copies > 0")
+    out = out.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    return out.select(*[f"row.{name}" for name in kept], "mix_copy", "mix_block", "mix_tokens", "mix_weight")
 
 
 def _block_place(seed: int) -> Column:
     """Where a block stands in its source's permutation."""
-    return F.xxhash64("__source", "mix_block", F.lit(seed))
+    return F.xxhash64("named", "mix_block", F.lit(seed))
 
 
 def _plain(df: DataFrame) -> list[str]:
     """Columns a hash can take."""
-    return [name for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return [f"`{name}`" for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
