@@ -367,16 +367,15 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY k, iteration ORDER BY h) AS
                   count(*) OVER (PARTITION BY k, iteration) AS docs FROM drawn)
 SELECT k, iteration, doc_id FROM ranked WHERE r <= least(docs, greatest(8 * k, CAST(ceil(0.8 * docs) AS BIGINT)))
 """
-ORACLES["topic_stability"] = f"""
-WITH cells AS (SELECT label AS k, unnest(embedding[1:{EMBEDDING_TOPICS}]) AS x,
-                      generate_subscripts(embedding[1:{EMBEDDING_TOPICS}], 1) AS topic FROM embeddings),
+ORACLES["topic_stability"] = """
+WITH cells AS (SELECT label AS k, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS topic FROM embeddings),
 per AS (SELECT k, topic, avg(CAST(x AS DOUBLE)) AS s FROM cells GROUP BY k, topic)
 SELECT k, round(avg(s), 6) AS mean_topic_stability, round(min(s), 6) AS minimum_topic_stability FROM per GROUP BY k
 """
 _shares = f"""
-cells AS (SELECT vec_id, label, unnest(embedding[1:{EMBEDDING_TOPICS}]) AS x,
-                 generate_subscripts(embedding[1:{EMBEDDING_TOPICS}], 1) AS topic FROM embeddings),
-pos AS (SELECT vec_id, label, CAST(topic AS INTEGER) AS topic, greatest(CAST(x AS DOUBLE), 0.0) AS w FROM cells),
+cells AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
+pos AS (SELECT vec_id, label, CAST(dim % {EMBEDDING_TOPICS} + 1 AS INTEGER) AS topic, sum(greatest(CAST(x AS DOUBLE), 0.0)) AS w
+        FROM cells GROUP BY ALL),
 whole AS (SELECT *, sum(w) OVER (PARTITION BY vec_id) AS total FROM pos),
 share AS (SELECT vec_id, label, topic, CASE WHEN total > 0 THEN w / total ELSE 0.0 END AS s FROM whole),
 led AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, topic) = 1 AS leads FROM share)"""
@@ -400,11 +399,10 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY s DESC,
 SELECT topic, r AS rank, vec_id, round(s, 6) AS topic_weight FROM ranked WHERE r <= 3
 """
 ORACLES["variant_topic_prevalence"] = f"""
-WITH {_shares},
-levels AS (SELECT DISTINCT CAST(label AS VARCHAR) AS v FROM embeddings ORDER BY v LIMIT 6)
+WITH {_shares}
 SELECT CAST(label AS VARCHAR) AS variant, count(DISTINCT vec_id) AS documents,
        {", ".join(f"round(avg(s) FILTER (WHERE topic = {i}), 6) AS topic_{i}" for i in range(1, EMBEDDING_TOPICS + 1))}
-FROM share WHERE CAST(label AS VARCHAR) IN (SELECT v FROM levels) GROUP BY label
+FROM share GROUP BY label
 """
 
 ORACLES["diagnostic_counts"] = f"""
@@ -633,7 +631,7 @@ UNION ALL SELECT 'warning', code FROM ({ORACLES['sentiment_warning_codes'].strip
 ORACLES["evidence_profile"] = """
 WITH facts AS (
   SELECT source, count(*) * 2 AS docs, quantile_cont(n_chars / 300.0, 0.5) AS med,
-         count(*) - count(DISTINCT CASE WHEN n_chars < 4000 THEN text ELSE CAST(doc_id AS VARCHAR) END) AS copies,
+         count(*) - count(DISTINCT text) AS copies,
          count(DISTINCT lang) * 20 AS vocab, avg(CASE WHEN n_chars > 100 THEN 1.0 ELSE 0.0 END) AS cover,
          avg((n_chars % 100) / 60.0) AS stable, avg(CASE WHEN lang <> 'en' THEN 1.0 ELSE 0.0 END) AS smallest,
          avg(CASE WHEN lang = 'fr' THEN 3.0 ELSE 0.0 END) AS unclear

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexprism import SentimentConfig, analyze_sentiment, audit_corpus, build_evidence_pack
@@ -571,11 +571,11 @@ def topic_alignment(spark, sf_dir):
 
 @registered
 def topic_stability(spark, sf_dir):
-    """Stability arithmetic over the first dimensions of every embedding."""
+    """Stability arithmetic with every dimension of the embeddings as a topic."""
     aligned = table(spark, sf_dir, "embeddings").select(
         F.col("label").alias("k"),
         F.col("vec_id").alias("iteration"),
-        F.posexplode(F.slice("embedding", 1, EMBEDDING_TOPICS)).alias("position", "x"),
+        F.posexplode("embedding").alias("position", "x"),
     )
     named = aligned.select("k", "iteration", (F.col("position") + 1).alias("topic"), F.col("x").cast("double").alias("similarity"))
     return rounded(B.stability_by_count(named), 6, "mean_topic_stability", "minimum_topic_stability")
@@ -590,9 +590,13 @@ def topic_count_comparison(spark, sf_dir):
 
 
 def _embedding_shares(spark, sf_dir) -> DataFrame:
-    """Non-negative weights of the first dimensions, as topic weights."""
-    head = F.slice("embedding", 1, EMBEDDING_TOPICS)
-    weights = F.transform(head, lambda x: F.greatest(x.cast("double"), F.lit(0.0)))
+    """Topic weights: the positive parts of all dimensions, dealt in turn to the topics."""
+
+    def weight(topic: int) -> Column:
+        own = F.filter("embedding", lambda x, i: i % EMBEDDING_TOPICS == topic)
+        return F.aggregate(own, F.lit(0.0), lambda a, x: a + F.greatest(x.cast("double"), F.lit(0.0)))
+
+    weights = F.array(*[weight(topic) for topic in range(EMBEDDING_TOPICS)])
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("doc_key"), F.col("label").cast("string").alias("label"), weights.alias("topic_weights")
     )
@@ -630,7 +634,7 @@ def representatives(spark, sf_dir):
 @registered
 def variant_topic_prevalence(spark, sf_dir):
     vectors = _embedding_shares(spark, sf_dir)
-    levels = tuple(row[0] for row in vectors.select("label").distinct().orderBy("label").limit(6).collect())
+    levels = tuple(row[0] for row in vectors.select("label").distinct().orderBy("label").collect())
     found = P.variant_topic_prevalence(vectors, levels, EMBEDDING_TOPICS)
     names = [f"Topic {i + 1}" for i in range(EMBEDDING_TOPICS)]
     return rounded(found, 6, *names).withColumnsRenamed({name: name.lower().replace(" ", "_") for name in names})
@@ -805,7 +809,7 @@ def evidence_profile(spark, sf_dir):
         F.count("*").alias("n"),
         (F.count("*") * 2).alias("analyzable_documents"),
         F.percentile(n / 300, F.lit(0.5)).alias("median_words"),
-        (F.count("*") - F.count_distinct(F.when(n < 4000, F.col("text")).otherwise(F.col("doc_id").cast("string")))).alias("copies"),
+        (F.count("*") - F.count_distinct(F.sha2("text", 256))).alias("copies"),
         (F.count_distinct("lang") * 20).alias("vocabulary_size"),
         F.avg((n > 100).cast("double")).alias("lexical_coverage"),
         F.avg((n % 100) / 60.0).alias("minimum_topic_stability"),

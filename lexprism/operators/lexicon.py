@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 IN_TASK_LEXICON_LIMIT = 200_000
+SPREAD = 32
 
 # Words that strengthen, weaken or negate what follows (Hutto & Gilbert 2014).
 STRENGTHENING = tuple(
@@ -54,10 +55,16 @@ def _in_task_lookup(words: list[str], valences: list[float]):
 
 
 def _joined_lookup(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """A lexicon too large for the tasks meets the words by shuffle; a common word is spread over ``SPREAD`` copies of its entry."""
     each = documents.select("doc_key", F.posexplode("words").alias("at", "word"))
-    found = each.join(lexicon, "word", "left").groupBy("doc_key")
-    listed = found.agg(F.array_sort(F.collect_list(F.struct("at", "valence"))).alias("found"))
-    valences = listed.select("doc_key", F.col("found.valence").alias("valences"))
+    each = each.withColumn("spread", F.pmod(F.xxhash64("doc_key", "at"), F.lit(SPREAD)))
+    copies = lexicon.withColumn("spread", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    found = each.join(copies, ["word", "spread"]).groupBy("doc_key")
+    sparse = found.agg(F.map_from_entries(F.collect_list(F.struct("at", "valence"))).alias("by_place"))
+    listed = documents.select("doc_key", "words").join(sparse, "doc_key", "left").select(
+        "doc_key", F.transform("words", lambda _, i: F.try_element_at("by_place", i)).alias("found")
+    )
+    valences = listed.select("doc_key", F.col("found").alias("valences"))
     empty = F.array().cast("array<double>")
     return documents.join(valences, "doc_key", "left").withColumn("valences", F.coalesce("valences", empty))
 

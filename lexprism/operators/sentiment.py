@@ -18,6 +18,7 @@ from ..functions.stats import period_label, t_quantile
 from .audit import MISSING
 from .lexicon import IN_TASK_LEXICON_LIMIT, NEGATING, STRENGTHENING, WEAKENING, with_valences
 
+SCORE_UNITS = 10_000  # compound scores have four decimals
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -216,30 +217,33 @@ def score_summary(scores: DataFrame, *by: str) -> DataFrame:
 
     Compound scores have four decimals, so they are first counted by value:
     the shuffle holds at most 20,001 rows per group and task however many
-    documents share a group.
+    documents share a group. Sums are whole numbers of ten-thousandths, so the
+    mean and the spread are the same however the rows are spread.
     """
     value = F.col("compound").cast("double")
     per_value = scores.select(*by, value.alias("v")).filter("v is not null and not isnan(v)").groupBy(*by, "v")
-    counted = per_value.agg(F.count("*").alias("n"))
+    counted = per_value.agg(F.count("*").alias("n")).withColumn("units", F.round(F.col("v") * SCORE_UNITS).cast("long"))
     n = F.sum("n")
     t = RULES.threshold
     sums = counted.groupBy(*by).agg(
         n.alias("documents"),
-        (F.sum(F.col("v") * F.col("n")) / n).alias("mean_compound"),
+        F.sum(F.col("units") * F.col("n")).alias("_sum"),
         F.percentile("v", F.lit(0.5), F.col("n")).alias("median_compound"),
-        F.sum(F.col("v") * F.col("v") * F.col("n")).alias("_squares"),
+        F.sum((F.col("units") * F.col("units")).cast("decimal(10,0)") * F.col("n").cast("decimal(18,0)")).alias("_squares"),
         (F.sum(F.when(F.col("v") >= t, F.col("n")).otherwise(0)) / n).alias("positive_share"),
         (F.sum(F.when(F.col("v") <= -t, F.col("n")).otherwise(0)) / n).alias("negative_share"),
         (F.sum(F.when((F.col("v") > -t) & (F.col("v") < t), F.col("n")).otherwise(0)) / n).alias("neutral_share"),
     )
-    mean, docs = F.col("mean_compound"), F.col("documents")
-    centred = F.greatest(F.col("_squares") - docs * mean * mean, F.lit(0.0))
-    reach = t_quantile(docs - 1) * F.sqrt(centred / (docs - 1) / docs)
+    docs, whole = F.col("documents"), F.col("_sum").cast("decimal(18,0)")
+    mean = F.col("_sum") / (docs * SCORE_UNITS)
+    # documents times the sum of squared deviations, exact
+    centred = (F.col("_squares").cast("decimal(22,0)") * docs.cast("decimal(15,0)") - whole * whole).cast("double")
+    reach = t_quantile(docs - 1) * F.sqrt(centred / docs / (docs - 1) / docs) / SCORE_UNITS
     many = docs > 1
     return sums.select(
         *by,
         "documents",
-        "mean_compound",
+        mean.alias("mean_compound"),
         "median_compound",
         F.when(many, mean - reach).alias("ci_low"),
         F.when(many, mean + reach).alias("ci_high"),
@@ -286,8 +290,11 @@ def dimension_summary(scores: DataFrame, dimensions: Sequence[str]) -> DataFrame
     return score_summary(compared, "position", "dimension", "level").orderBy("position", "level").drop("position")
 
 
-def folded_duplicate_rate(folded: DataFrame) -> DataFrame:
-    """One row: share of scored documents whose case-folded text occurs more than once."""
-    copies = folded.groupBy(F.unhex(F.sha2("folded_text", 256)).alias("h")).agg(F.count("*").alias("n"))
+def folded_duplicate_rate(folded: DataFrame, hashed: str | None = None) -> DataFrame:
+    """One row: share of scored documents whose case-folded text occurs more than once.
+
+    ``hashed`` names a column that already holds the hash of that text.
+    """
+    copies = folded.groupBy((F.col(hashed) if hashed else F.unhex(F.sha2("folded_text", 256))).alias("h")).agg(F.count("*").alias("n"))
     repeated = F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))
     return copies.agg((repeated / F.sum("n")).alias("duplicate_rate"))

@@ -18,7 +18,6 @@ from .stability import align, stability_by_count, topic_stability
 from .start import full_spectrum, sample_spectra, starting_topics
 from .tables import component_entries, top_term_diversity
 
-TASKS_PER_SLOT = 3
 ERROR_SCHEMA = "k int, relative_reconstruction_error double"
 
 
@@ -39,6 +38,11 @@ class TopicModel:
     def fits_at_cap(self) -> int:
         return sum(fit.capped for fit in self.fits.values())
 
+    @property
+    def unfinished_rows(self) -> int:
+        """Rows whose weights ran out of sweeps in the last pass of a fit, over all fits."""
+        return sum(fit.unfinished_rows for fit in self.fits.values())
+
     @property
     def planned_fit(self) -> Fit:
         return self.fits[self.planned, 0]
@@ -85,14 +89,12 @@ def compared_counts(planned: int, documents: int, terms: int) -> list[int]:
 
 
 def _fit_rows(usable: DataFrame, flags) -> DataFrame:
-    """Document rows with sample flags, in few large partitions, kept for all passes.
+    """Document rows with sample flags, kept for all passes in the partitions they were written in.
 
-    Each task of a pass returns one partial sum per fit, so the number of tasks,
-    not the number of documents, sets how much is added up.
+    Each task of a pass returns one partial sum per fit; these are added in two
+    levels, so the number of partitions bounds nothing but the first level.
     """
-    slots = usable.sparkSession.sparkContext.defaultParallelism
-    rows = usable.withColumn("member", flags)
-    return rows.coalesce(TASKS_PER_SLOT * slots).persist(StorageLevel.MEMORY_AND_DISK)
+    return usable.withColumn("member", flags).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_topics(

@@ -46,6 +46,7 @@ class Fit:
     first_violation: float | None = None
     settled: np.ndarray | None = None
     reach: float = FIRST_REACH
+    unfinished_rows: int = 0  # of the last pass
 
     @property
     def relative_error(self) -> float:
@@ -56,27 +57,37 @@ class Fit:
         return not self.converged
 
 
-def row_weights(images: np.ndarray, gram: np.ndarray) -> np.ndarray:
+def solved_rows(images: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Non-negative least squares for rows: minimise |x - wH| given xH' and HH'.
 
-    ``images`` is (fits, rows, k), ``gram`` (fits, k, k).
+    ``images`` is (fits, rows, k), ``gram`` (fits, k, k). A row stops when its own
+    weights no longer move, so its result does not depend on its neighbours.
+    Returns the weights and, for each fit and row, whether it ran out of sweeps.
     """
     k = gram.shape[-1]
     diagonal = np.einsum("fkk->fk", gram)
     safe = np.where(diagonal > 0, diagonal, 1.0)
     ridge = 1e-10 * safe.max(axis=1)[:, None, None] * np.eye(k)
     weights = np.maximum(np.linalg.solve(gram + ridge, images.transpose(0, 2, 1)).transpose(0, 2, 1), 0.0)
+    moving = np.ones(weights.shape[:2], bool)
     for _ in range(ROW_SWEEPS):
-        moved = 0.0
+        moved = np.zeros(moving.shape)
         for j in range(k):
             slope = images[:, :, j] - (weights @ gram[:, :, j, None])[:, :, 0]
             value = np.maximum(weights[:, :, j] + slope / safe[:, None, j], 0.0)
             value *= diagonal[:, None, j] > 0
-            moved = max(moved, float(np.abs(value - weights[:, :, j]).max(initial=0.0)))
-            weights[:, :, j] = value
-        if moved <= ROW_TOLERANCE * max(float(weights.max(initial=0.0)), 1e-12):
+            step = np.where(moving, value - weights[:, :, j], 0.0)
+            np.maximum(moved, np.abs(step), out=moved)
+            weights[:, :, j] += step
+        moving &= moved > ROW_TOLERANCE * np.maximum(weights.max(axis=2, initial=0.0), 1e-12)
+        if not moving.any():
             break
-    return weights
+    return weights, moving
+
+
+def row_weights(images: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """The weights alone."""
+    return solved_rows(images, gram)[0]
 
 
 def improved_topics(components: np.ndarray, weight_gram: np.ndarray, weight_image: np.ndarray) -> np.ndarray:
@@ -97,7 +108,8 @@ def violation(components: np.ndarray, weight_gram: np.ndarray, weight_image: np.
     return float(np.abs(np.where(held, 0.0, gradient)).sum())
 
 
-def _one_pass(rows: DataFrame, fits: list[Fit], terms: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _one_pass(rows: DataFrame, fits: list[Fit], terms: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """W'W, W'X and the number of rows whose weights did not settle, for each fit."""
     by_topics: dict[int, list[int]] = {}
     for position, fit in enumerate(fits):
         by_topics.setdefault(fit.topics, []).append(position)
@@ -116,27 +128,28 @@ def _one_pass(rows: DataFrame, fits: list[Fit], terms: int) -> list[tuple[np.nda
         for positions, samples, components in broadcast.value:
             count, k, terms = components.shape
             images = (dense @ components.reshape(count * k, terms).T).reshape(len(dense), count, k).transpose(1, 0, 2)
-            weights = row_weights(images, components @ components.transpose(0, 2, 1))
+            weights, unfinished = solved_rows(images, components @ components.transpose(0, 2, 1))
             for f, sample in enumerate(samples):
                 if sample >= 0:
                     weights[f] *= inside[:, sample, None]
+                    unfinished[f] &= inside[:, sample]
             grams = weights.transpose(0, 2, 1) @ weights
             back = (weights.transpose(0, 2, 1).reshape(count * k, len(dense)) @ dense).reshape(count, k * terms)
             for f, position in enumerate(positions):
-                out[position] = np.concatenate([grams[f].ravel(), back[f]])
+                out[position] = np.concatenate([[unfinished[f].sum()], grams[f].ravel(), back[f]])
         return [out[position] for position in range(len(out))]
 
-    lengths = [fit.topics * (fit.topics + terms) for fit in fits]
+    lengths = [1 + fit.topics * (fit.topics + terms) for fit in fits]
     stats = accumulate(rows, terms, lengths, block_stats)
     broadcast.destroy()
     found = []
     for fit, flat in zip(fits, stats):
         k = fit.topics
-        found.append((flat[: k * k].reshape(k, k), flat[k * k :].reshape(k, terms)))
+        found.append((flat[1 : 1 + k * k].reshape(k, k), flat[1 + k * k :].reshape(k, terms), int(flat[0])))
     return found
 
 
-def _advance(fit: Fit, weight_gram: np.ndarray, weight_image: np.ndarray) -> Fit:
+def _advance(fit: Fit, weight_gram: np.ndarray, weight_image: np.ndarray, unfinished: int = 0) -> Fit:
     """One step of a fit from the statistics of a pass.
 
     Each step goes on a little in the direction it moved. Where that raised the
@@ -149,7 +162,7 @@ def _advance(fit: Fit, weight_gram: np.ndarray, weight_image: np.ndarray) -> Fit
         - 2.0 * float((topics * weight_image).sum())
         + float((weight_gram * (topics @ topics.T)).sum())
     )
-    seen = replace(fit, passes=fit.passes + 1)
+    seen = replace(fit, passes=fit.passes + 1, unfinished_rows=unfinished)
     if residual > fit.residual and topics is not fit.settled:
         return replace(seen, components=fit.settled, reach=fit.reach * LESS_REACH)
     gap = violation(topics, weight_gram, weight_image)

@@ -1,13 +1,14 @@
 """Starting topics: a distributed truncated SVD turned non-negative.
 
 The dominant right singular vectors come from subspace iteration, one pass
-over the rows per step. Perturbation samples begin at the vectors of the full
-corpus, which are already close to their own.
+over the rows per step, until the leading values are steady. Perturbation
+samples begin at the vectors of the full corpus, which are close to their own,
+and iterate just as far.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,8 +17,7 @@ from .passes import accumulate, chunks
 
 OVERSAMPLE = 10
 SAMPLE_OVERSAMPLE = 3
-FULL_STEPS = 8
-SAMPLE_STEPS = 2
+MOST_STEPS = 100
 STEADY = 1e-4
 TINY = 1e-6
 
@@ -31,6 +31,8 @@ class Spectrum:
     documents: float
     entry_sum: float
     square_sum: float
+    steps: int = 0
+    steady: bool = False
 
 
 def _member_weights(inside: np.ndarray, sample: int) -> np.ndarray | float:
@@ -82,27 +84,38 @@ def full_spectrum(rows: DataFrame, terms: int, topics: int, seed: int) -> Spectr
     width = min(topics + OVERSAMPLE, terms)
     basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))
     before = np.zeros(topics)
-    for _ in range(FULL_STEPS):
+    for step in range(1, MOST_STEPS + 1):
         (spectrum, basis), = _subspace_step(rows, [basis], [-1])
-        leading = spectrum.values[:topics]
-        if np.abs(leading - before).max() <= STEADY * max(leading[0], TINY):
+        steady = _settled(spectrum.values, before, topics)
+        if steady:
             break
-        before = leading
-    return spectrum
+        before = spectrum.values[:topics]
+    return replace(spectrum, steps=step, steady=steady)
+
+
+def _settled(values: np.ndarray, before: np.ndarray, topics: int) -> bool:
+    return bool(np.abs(values[:topics] - before).max() <= STEADY * max(values[0], TINY))
 
 
 def sample_spectra(rows: DataFrame, full: Spectrum, topics: list[int]) -> list[Spectrum]:
     """One spectrum per sample flag; ``topics[i]`` belongs to flag ``i``."""
     flags = list(range(len(topics)))
     bases = [full.vectors[:, : k + SAMPLE_OVERSAMPLE] for k in topics]
-    spectra: list[Spectrum] = []
+    spectra: dict[int, Spectrum] = {}
     for part in chunks([basis.nbytes for basis in bases]):
-        following = bases[part]
-        for _ in range(SAMPLE_STEPS):
-            found = _subspace_step(rows, following, flags[part])
-            following = [basis for _, basis in found]
-        spectra += [spectrum for spectrum, _ in found]
-    return spectra
+        open_ = {f: (bases[f], np.zeros(topics[f])) for f in flags[part]}
+        for step in range(1, MOST_STEPS + 1):
+            found = _subspace_step(rows, [basis for basis, _ in open_.values()], list(open_))
+            following = {}
+            for f, (spectrum, basis) in zip(open_, found):
+                steady = _settled(spectrum.values, open_[f][1], topics[f])
+                spectra[f] = replace(spectrum, steps=step, steady=steady)
+                if not steady:
+                    following[f] = basis, spectrum.values[: topics[f]]
+            open_ = following
+            if not open_:
+                break
+    return [spectra[f] for f in flags]
 
 
 def _side_masses(rows: DataFrame, vectors: list[np.ndarray], samples: list[int]) -> list[np.ndarray]:

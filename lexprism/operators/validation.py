@@ -18,11 +18,11 @@ SUPPORTED = "LOCALLY SUPPORTED"
 NOT_SUPPORTED = "MODEL DOES NOT TRANSFER"
 
 MEANINGS = {
-    UNVALIDATED: "This corpus comes without human-coded labels to compare with.",
-    NO_LABELS: "None of the declared human labels occurs in the label column.",
-    FEW_LABELS: "There are under a hundred human-coded documents, too few for a firm comparison.",
-    SUPPORTED: "Scores agree well enough with the human labels of this sample.",
-    NOT_SUPPORTED: "Scores disagree too often with the human labels to support claims about sentiment.",
+    UNVALIDATED: "No label column was named, so no agreement was measured.",
+    NO_LABELS: "The label column holds none of the values declared as labels.",
+    FEW_LABELS: f"Fewer than {ENOUGH_LABELS} documents carry a declared label.",
+    SUPPORTED: f"Balanced accuracy and macro F1 both reach {ENOUGH_AGREEMENT:.2f} on the labelled documents.",
+    NOT_SUPPORTED: f"Balanced accuracy or macro F1 stays below {ENOUGH_AGREEMENT:.2f} on the labelled documents.",
 }
 
 

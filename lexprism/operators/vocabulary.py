@@ -19,6 +19,7 @@ from ..functions.arrays import bind, double_literal
 from ..functions.text import bigrams
 
 BROADCAST_TERM_LIMIT = 200_000
+SPREAD = 32
 
 
 @dataclass(frozen=True)
@@ -70,16 +71,24 @@ def term_totals(df: DataFrame, terms: Column) -> DataFrame:
 
 
 def _only_frequent_pairs(df: DataFrame, frequent: DataFrame, how_many: int) -> DataFrame:
-    """Keep word pairs both of whose words are in ``frequent``."""
-    side = F.broadcast(frequent) if how_many <= BROADCAST_TERM_LIMIT else frequent
-    left = side.select(F.col("term").alias("left_word"))
-    right = side.select(F.col("term").alias("right_word"))
-    return (
-        df.withColumn("left_word", F.substring_index("term", " ", 1))
-        .withColumn("right_word", F.substring_index("term", " ", -1))
-        .join(left, "left_word", "left_semi")
-        .join(right, "right_word", "left_semi")
-    )
+    """Keep word pairs both of whose words are in ``frequent``.
+
+    A list too long to broadcast meets the pairs by shuffle; pairs are first
+    counted within each task, and what is left of a common word is spread by
+    its partner.
+    """
+    left_word, right_word = F.substring_index("term", " ", 1), F.substring_index("term", " ", -1)
+    named = df.withColumns({"left_word": left_word, "right_word": right_word})
+    if how_many <= BROADCAST_TERM_LIMIT:
+        side = F.broadcast(frequent)
+        return named.join(side.select(F.col("term").alias("left_word")), "left_word", "left_semi").join(
+            side.select(F.col("term").alias("right_word")), "right_word", "left_semi"
+        )
+    for own, other in (("left_word", "right_word"), ("right_word", "left_word")):
+        copies = frequent.select(F.col("term").alias(own), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread"))
+        spread = named.withColumn("spread", F.pmod(F.hash(other), F.lit(SPREAD)))
+        named = spread.join(copies, [own, "spread"], "left_semi").drop("spread")
+    return named
 
 
 def pair_totals(tokens: DataFrame, frequent: DataFrame, how_many: int) -> DataFrame:

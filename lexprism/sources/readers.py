@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from ..config import DataProblem
+from ..session import materialise
 
 # Cell texts read as missing.
 MISSING_MARKS = (
     "",
-    " ",
     "#N/A",
     "#N/A N/A",
     "#NA",
@@ -33,6 +33,7 @@ MISSING_MARKS = (
     "nan",
     "null",
 )
+BAD_ROW = "__bad_row"
 BYTE_ORDER_MARK = "﻿"
 
 
@@ -62,6 +63,23 @@ def checked_shape(df: DataFrame, max_rows: int | None = None, max_columns: int |
     return df.toDF(*names)
 
 
+def _narrowest(texts: DataFrame) -> dict[str, str]:
+    """The narrowest type that reads every cell of each text column, in one pass."""
+    kinds = ("bigint", "double", "date", "timestamp", "boolean")
+    unreadable = [
+        F.count_if(F.col(_quoted(name)).isNotNull() & F.col(_quoted(name)).try_cast(kind).isNull()).alias(f"{i}_{kind}")
+        for i, name in enumerate(texts.columns)
+        for kind in kinds
+    ]
+    filled = [F.count(F.col(_quoted(name))).alias(f"{i}_n") for i, name in enumerate(texts.columns)]
+    found = texts.agg(*filled, *unreadable).first()
+    out = {}
+    for i, name in enumerate(texts.columns):
+        fitting = [kind for kind in kinds if found[f"{i}_{kind}"] == 0]
+        out[name] = fitting[0] if found[f"{i}_n"] and fitting else "string"
+    return out
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -70,68 +88,101 @@ def read_csv(
     multiline: bool = True,
     **limits,
 ) -> DataFrame:
-    """CSV with a header row. Give a schema for large inputs: inferring types reads them twice.
+    """CSV with a header row. Give a schema for large inputs: finding types reads them twice.
 
-    Quoted cells may span lines; with ``multiline=False`` they may not, and one
-    large file is then split over tasks.
+    Cells are read as text and missing marks removed before types are found or
+    cast, so a mark in a numeric column is a missing number. A row with more
+    cells than the header, or a cell its declared type cannot hold, fails the
+    read; a short row is filled with nulls. Quoted cells may span lines; with
+    ``multiline=False`` they may not, and one large file is then split over tasks.
     """
-    marks = [mark for mark in na_values]
-    reader = spark.read.options(
+    marks = list(na_values)
+    options = dict(
         header=True, multiLine=multiline, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False, nullValue="NA" if "NA" in marks else "",
+        ignoreTrailingWhiteSpace=False, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_ROW, enforceSchema=True,
     )
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = checked_shape(reader.csv(path), **limits)
-    text_columns = {f.name for f in df.schema.fields if isinstance(f.dataType, S.StringType)}
+    head = spark.read.options(**{**options, "inferSchema": False}).csv(path)
+    names = head.columns
+    rows = spark.read.options(**options).schema(
+        S.StructType([*[S.StructField(name, S.StringType()) for name in names], S.StructField(BAD_ROW, S.StringType())])
+    ).csv(path)
+    # A short row is marked bad as well, but it has a null in its last column; a long row has none.
+    last = F.col(_quoted(names[-1]))
+    too_long = F.col(BAD_ROW).isNotNull() & last.isNotNull()
+    message = F.concat(F.lit("A CSV row has more cells than the header: "), F.substring(BAD_ROW, 1, 200))
+    checked = F.when(too_long, F.raise_error(message)).otherwise(F.col(_quoted(names[0]))).cast("string")
 
     def cell(name: str):
-        column = F.col(_quoted(name))
-        if name not in text_columns:
-            return column
+        column = checked if name == names[0] else F.col(_quoted(name))
         return F.when(~column.isin(marks), column).alias(name)
 
-    return df.select(*[cell(name) for name in df.columns])
+    texts = checked_shape(rows.select(*[cell(name) for name in names]), **limits)
+    if schema is not None:
+        wanted = S.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if len(wanted) != len(texts.columns):
+            raise DataProblem(f"The schema has {len(wanted)} columns, the file {len(texts.columns)}.")
+        pairs = [(name, field.name, field.dataType) for name, field in zip(texts.columns, wanted)]
+        return texts.select(*[F.col(_quoted(name)).cast(kind).alias(new) for name, new, kind in pairs])
+    return texts.select(*[F.col(_quoted(name)).cast(kind).alias(name) for name, kind in _narrowest(texts).items()])
 
 
-def _opens_with_array(spark: SparkSession, path: str) -> bool:
-    """Is the top level an array? Looks only at what precedes the first brace."""
-    head = spark.read.option("lineSep", "{").text(path).first()
-    before = (head["value"] if head else "").lstrip(BYTE_ORDER_MARK).strip()
-    return before.startswith("[")
+def _shapes(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Files whose top level is an array, and those whose top level is an object. Looks at what precedes the first brace."""
+    heads = spark.read.option("lineSep", "{").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    first = heads.where("start = 0").withColumn("at", F.monotonically_increasing_id())
+    before = first.groupBy("file").agg(F.min_by("value", "at").alias("head")).collect()  # one row for each file
+    arrays = [r["file"] for r in before if r["head"].lstrip(BYTE_ORDER_MARK).strip().startswith("[")]
+    return arrays, [r["file"] for r in before if r["file"] not in set(arrays)]
 
 
 def read_json(spark: SparkSession, path: str, schema: S.StructType | str | None = None, **limits) -> DataFrame:
-    """An array of row objects, or an object with a ``data`` array of them."""
-    reader = spark.read.option("multiLine", True)
-    if _opens_with_array(spark, path):
-        rows = reader.schema(schema).json(path) if schema is not None else reader.json(path)
-        if "_corrupt_record" in rows.columns:
-            raise DataProblem("The JSON rows cannot be read as a table.")
-        return checked_shape(rows, **limits)
-    if schema is not None:
-        inner = S.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        wrapped = reader.schema(S.StructType([S.StructField("data", S.ArrayType(inner))])).json(path)
-    else:
-        wrapped = reader.json(path)
-    fields = {f.name: f.dataType for f in wrapped.schema.fields}
-    rows_type = fields.get("data")
-    if not isinstance(rows_type, S.ArrayType) or not isinstance(rows_type.elementType, S.StructType):
-        raise DataProblem("JSON must be an array of row objects or an object with a data array.")
-    return checked_shape(wrapped.select(F.inline("data")), **limits)
+    """An array of row objects, or an object with a ``data`` array of them; decided for each file.
+
+    A file that is no JSON of this kind fails the read.
+    """
+    reader = spark.read.options(multiLine=True, mode="FAILFAST")
+    try:
+        return checked_shape(_json_rows(spark, reader, path, schema), **limits)
+    except DataProblem:
+        raise
+    except Exception as error:  # schema inference reports bad files in several ways
+        raise DataProblem("A JSON file cannot be read as a table.") from error
+
+
+def _json_rows(spark: SparkSession, reader: DataFrameReader, path: str, schema: S.StructType | str | None) -> DataFrame:
+    arrays, objects = _shapes(spark, path)
+    parts = []
+    if arrays:
+        parts.append((reader.schema(schema) if schema is not None else reader).json(arrays))
+    if objects:
+        if schema is not None:
+            inner = S.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+            wrapped = reader.schema(S.StructType([S.StructField("data", S.ArrayType(inner))])).json(objects)
+        else:
+            wrapped = reader.json(objects)
+        fields = {f.name: f.dataType for f in wrapped.schema.fields}
+        rows_type = fields.get("data")
+        if not isinstance(rows_type, S.ArrayType) or not isinstance(rows_type.elementType, S.StructType):
+            raise DataProblem("JSON must be an array of row objects or an object with a data array.")
+        parts.append(wrapped.select(F.inline("data")))
+    if not parts:
+        raise DataProblem("The table has no rows.")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def read_lines(spark: SparkSession, path: str, **limits) -> DataFrame:
     """One document per non-blank line, with dense identifiers in file order.
 
-    Lines are numbered without moving them: each split counts its lines, and
-    the small table of splits gives every split its offset.
+    The lines are written once with their place in their split, so counting and
+    numbering see the same places; each split counts its lines, and the table of
+    splits, one row each, gives every split its offset.
     """
     raw = spark.read.text(path).select(
         F.trim(F.regexp_replace(F.ltrim(F.regexp_replace("value", f"^{BYTE_ORDER_MARK}", "")), r"(?U)^\s+|\s+$", "")).alias("text"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
     )
-    lines = raw.filter("text <> ''").withColumn("seen", F.monotonically_increasing_id())
+    lines = materialise(raw.filter("text <> ''").withColumn("seen", F.monotonically_increasing_id()), "lines")
     splits = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("seen").alias("first"))
     before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
