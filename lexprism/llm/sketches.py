@@ -102,11 +102,11 @@ def fingerprint_edits(
     Columns: the id, n_chars, edited_text, sketch, edited_sketch, next_sketch.
     Whole texts move once, and the wanted beginnings and sketches once more.
     """
-    base = df.select(F.col(id_column).alias("__own"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    base = base.select(
-        "__own", "__text", F.col("__own").isNull().cast("int").alias("none"), F.xxhash64("__text").alias("hash")
-    ).withColumn("id", F.coalesce("__own", F.lit(0).cast(base.schema["__own"].dataType)))
-    base = base.withColumn("known", 1 - F.col("none")).drop("none")
+    own, content = F.col(id_column), F.coalesce(F.col(text).cast("string"), F.lit(""))
+    missing = F.lit(0).cast(df.schema[id_column].dataType)
+    # Both uses of these rows need just these columns, so their texts are shuffled once.
+    base = df.select(own.isNotNull().cast("int").alias("known"), F.coalesce(own, missing).alias("id"), content.alias("__text"))
+    base = base.withColumn("hash", F.xxhash64("__text"))
     order = ["known", "id", "hash"]
     keys = base.select(*order, F.char_length("__text").alias("n")).distinct()
     follow = materialise(successors(keys, order), "follow")
@@ -125,5 +125,5 @@ def fingerprint_edits(
     met = with_sketch(met.withColumn("edited_text", edited), "__text", "sketch", words_each, kept_part)
     met = with_sketch(met, "edited_text", "edited_sketch", words_each, kept_part)
     return met.select(
-        F.col("__own").alias(id_column), F.col("n_chars").cast("long"), "edited_text", "sketch", "edited_sketch", "next_sketch"
+        F.when(F.col("known") == 1, F.col("id")).alias(id_column), F.col("n_chars").cast("long"), "edited_text", "sketch", "edited_sketch", "next_sketch"
     )
