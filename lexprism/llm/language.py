@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -12,6 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memo import Memo
 from .quality import in_fold
 
 UNKNOWN = "und"
@@ -41,7 +41,7 @@ def train_languages(
     """A dictionary of at most 64 KB for each language, from documents outside the held-out fold.
 
     Each language gives about ``sample_documents`` documents of smallest hash
-    and of each at most a thousand characters, so what the driver holds is
+    and of each a stretch of at most a thousand characters from a hashed place, so what the driver holds is
     bounded by the number of languages (at most 400; more are refused). A share
     chosen from the language's own count thins the rows before they are ranked,
     so a language that holds most rows is never ranked whole. Null languages,
@@ -59,7 +59,9 @@ def train_languages(
     spark = docs.sparkSession
     shares = spark.createDataFrame([(r["__lang"], min(1.0, 3.0 * sample_documents / r["n"])) for r in counts], "__lang string, share double")
     draw = F.xxhash64(F.col(id_column).cast("string"), F.lit(5))
-    thin = usable.select(F.col(language).alias("__lang"), draw.alias("draw"), F.substring(text, 1, SAMPLE_CHARS).alias("part"))
+    room = F.greatest(F.char_length(text) - SAMPLE_CHARS, F.lit(0)) + 1
+    part = F.substring(F.col(text), (F.pmod(draw, room) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    thin = usable.select(F.col(language).alias("__lang"), draw.alias("draw"), part.alias("part"))
     thin = thin.join(F.broadcast(shares), "__lang").where((F.pmod("draw", F.lit(1_000_000)) + 0.5) / 1_000_000 <= F.col("share"))
     nearest = thin.groupBy("__lang").agg(F.sort_array(F.collect_list(F.struct("draw", "part"))).alias("parts"))
     nearest = nearest.select("__lang", F.transform(F.slice("parts", 1, sample_documents), lambda p: p["part"]).alias("parts"))
@@ -71,7 +73,9 @@ def train_languages(
     return dict(sorted(out.items()))
 
 
-@functools.lru_cache(maxsize=2)
+_MADE = Memo()
+
+
 def _compressors(content: tuple[tuple[str, bytes], ...]) -> list[zstandard.ZstdCompressor]:
     made = []
     for _, text in content:
@@ -85,7 +89,7 @@ def sizes(text: str, content: tuple[tuple[str, bytes], ...]) -> np.ndarray:
     """Compressed bytes of a whole prepared text under each language's dictionary, chunk by chunk."""
     data = text.encode("utf-8", "surrogatepass")
     parts = [data[k : k + CHUNK_BYTES] for k in range(0, len(data), CHUNK_BYTES)]
-    return np.array([sum(len(c.compress(part)) for part in parts) for c in _compressors(content)], np.int64)
+    return np.array([sum(len(c.compress(part)) for part in parts) for c in _MADE.made(content, lambda: _compressors(content))], np.int64)
 
 
 def identify(text: str | None, content: tuple[tuple[str, bytes], ...], least_margin: float) -> tuple[str, float, bool]:

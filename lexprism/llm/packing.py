@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -15,15 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .memo import Memo
 from .pretokens import _byte_characters, chunks, split, vocabulary
 
 KEPT_WORDS = 1_000_000
 MERGED = 1 << 62
 GROUPED_PARTITIONS = 8
-_KNOWN: dict[str, dict[str, bytes]] = {}
+_MODELS, _KNOWN = Memo(), Memo()
 
 
-@functools.cache
 def _model(path: str):
     from tokenizers import Tokenizer
 
@@ -36,8 +35,8 @@ def encoded(texts: list[str], path: str) -> list[bytes]:
     The tokenizer's own model encodes each different pre-token once; texts are
     laid together from these.
     """
-    known, model, out = vocabulary(path), _model(path), []
-    seen = _KNOWN.setdefault(path, {})
+    known, model, out = vocabulary(path), _MODELS.made(path, lambda: _model(path)), []
+    seen = _KNOWN.made(path, dict)
     shown = dict(enumerate(_byte_characters()))
     special = {name: np.array([i], "<u4").tobytes() for name, i in known.special.items()}
     for _, group in chunks(texts):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import json
 from collections.abc import Iterator
 
 import numpy as np
 
+from .memo import Memo
+
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN = 0, 1, 2, 3, 255
 CODE_POINTS = 0x110000
 CHUNK_CHARS = 1 << 20
@@ -50,12 +51,13 @@ class Vocabulary:
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int32)
 
 
-@functools.cache
+_MADE = Memo()
+
+
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return _MADE.made(path, lambda: Vocabulary(path))
 
 
-@functools.cache
 def _classes() -> np.ndarray:
     import regex
 
@@ -86,7 +88,7 @@ def starts(points: np.ndarray, text_starts: np.ndarray, path: str) -> np.ndarray
     white space: all of it but its last character, which stands alone unless it
     is a blank that belongs to what follows.
     """
-    kinds = _classes()
+    kinds = _MADE.made("classes", _classes)
     kind = kinds[points]
     if (kind == UNKNOWN).any():
         _resolved(kinds, points[kind == UNKNOWN], path)

@@ -15,7 +15,6 @@ from ..session import materialise
 LOWEST = -(2**63)
 WORDS_EACH = 5
 KEPT_PART = 4  # one hash in so many
-RANGES = 64
 
 
 def with_sketch(df: DataFrame, text: str, name: str, words_each: int = WORDS_EACH, kept_part: int = KEPT_PART) -> DataFrame:
@@ -67,14 +66,15 @@ def sketch_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def successors(keys: DataFrame, order: list[str], ranges: int = RANGES) -> DataFrame:
+def successors(keys: DataFrame, order: list[str]) -> DataFrame:
     """``keys`` with ``next``, the struct of the ``order`` columns of the following row; after the last comes the first.
 
-    Rows are cut into ranges of their order; within a range the next row is at
+    Rows are cut into ranges of their order, as many as the session has shuffle
+    partitions; within a range the next row is at
     hand, and for a range's last row it is the first of the next range that has
     rows. Only those first rows, one for each range, are ordered in one place.
     """
-    ranged = keys.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id())
+    ranged = keys.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
     ranged = materialise(ranged, "ranged")
     own = F.struct(*order)
     firsts = ranged.groupBy("range").agg(F.min(own).alias("first"))

@@ -10,7 +10,6 @@ gives.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memo import Memo
 from .pretokens import Vocabulary, chunks, split, vocabulary
 
 NONE = np.int32(2**31 - 1)
@@ -63,9 +63,11 @@ class PairTable:
         return out
 
 
-@functools.cache
+_TABLES, _KNOWN = Memo(), Memo()
+
+
 def pair_table(path: str) -> PairTable:
-    return PairTable(vocabulary(path))
+    return _TABLES.made(path, lambda: PairTable(vocabulary(path)))
 
 
 def surviving_symbols(words: list[str], path: str) -> np.ndarray:
@@ -110,13 +112,10 @@ def surviving_symbols(words: list[str], path: str) -> np.ndarray:
     return counts
 
 
-_KNOWN: dict[str, dict[str, int]] = {}
-
-
 def counted(texts: list[str], path: str) -> np.ndarray:
     """Tokens of each text; special strings inside a text count one each."""
     known, totals = vocabulary(path), np.zeros(len(texts), np.int64)
-    seen = _KNOWN.setdefault(path, {})
+    seen = _KNOWN.made(path, dict)
     for first, group in chunks(texts):
         words, before, owners = split(group, known)
         if len(seen) > KEPT_WORDS:
