@@ -17,7 +17,7 @@ from ..session import materialise
 from .memo import Memo
 from .pretokens import _byte_characters, chunks, split, vocabulary
 
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 MERGED = 1 << 62
 GROUPED_PARTITIONS = 8
 _MODELS, _KNOWN = Memo(), Memo()

@@ -23,7 +23,7 @@ from .pretokens import Vocabulary, chunks, split, vocabulary
 
 NONE = np.int32(2**31 - 1)
 TABLE_BITS = 18
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 
 
 class PairTable:
