@@ -343,6 +343,12 @@ _entries = """
 cells AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
 entries AS (SELECT label AS topic, dim, 'd' || lpad(CAST(dim AS VARCHAR), 3, '0') AS term,
                    sum(greatest(CAST(x AS DOUBLE), 0.0)) AS weight FROM cells GROUP BY label, dim)"""
+ORACLES["language_topic_fit"] = """
+WITH n AS (SELECT lang AS language, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, lang) AS r FROM documents WHERE lang IS NOT NULL GROUP BY lang)
+SELECT CAST(k AS INTEGER) AS topics, language,
+       round(sqrt((SELECT sum(n) FROM n) - (SELECT sum(n) FROM n WHERE r <= k)) / sqrt((SELECT sum(n) FROM n)), 6) AS relative_reconstruction_error
+FROM n, (VALUES (2), (3)) AS c(k) WHERE r <= k
+"""
 ORACLES["top_term_diversity"] = f"""
 WITH {_entries},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS r FROM entries)
@@ -418,6 +424,11 @@ SELECT source_rows, docs AS nonblank_documents, usable AS topic_model_documents,
        CASE WHEN contains(levels, ',') THEN 'one-vs-rest per variant' ELSE 'none' END AS contrast_design
 FROM s
 """
+ORACLES["evidence_manifest"] = f"""
+SELECT 'lexprism.evidence.v1' AS schema, source_rows, nonblank_documents, vocabulary_size, contrast_design,
+       CAST(5 AS INTEGER) AS undocumented
+FROM ({ORACLES["diagnostic_counts"]})
+"""
 ORACLES["analysis_warnings"] = """
 WITH l AS (SELECT count(DISTINCT trim(lang)) AS n FROM documents WHERE trim(lang) <> '')
 SELECT unnest(['topics_are_patterns', 'choices_matter', 'masking_is_partial', 'english_list']) AS code

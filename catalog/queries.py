@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -238,7 +239,11 @@ def _pack(spark, sf_dir):
 def evidence_manifest(spark, sf_dir):
     path = scratch_path(spark, "evidence")
     write_json_evidence(_pack(spark, sf_dir), path)
-    return spark.read.json(f"{path}/manifest").drop("generated_at_utc", "generated_by")
+    written = spark.read.json(f"{path}/manifest")
+    return written.select(
+        "schema", *[F.col(f"analysis_diagnostics.{name}") for name in ("source_rows", "nonblank_documents", "vocabulary_size", "contrast_design")],
+        F.size("undocumented_fields").alias("undocumented"),
+    )
 
 
 @registered
@@ -527,6 +532,26 @@ def topic_factorisation(spark, sf_dir):
     return spark.createDataFrame(fitted, "k int, iteration int, passes int, converged boolean, error double")
 
 
+@registered
+def language_topic_fit(spark, sf_dir):
+    """Topics of rows that name a document's language: the best k topics are the k largest languages."""
+    documents = table(spark, sf_dir, "documents").where("lang is not null").select(F.col("doc_id").alias("doc_key"), F.col("lang").alias("label"))
+    languages = documents.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()
+    names, counts = [r["label"] for r in languages], tuple(r["n"] for r in languages)
+    known = V.Vocabulary(tuple(names), counts, counts, sum(counts), 1)
+    place = F.array_position(F.array(*[F.lit(name) for name in names]), F.col("label")).cast("int") - 1
+    rows = documents.select(
+        "doc_key", "label", F.array(place).alias("indices"), F.array(F.lit(1).cast("long")).alias("counts"), F.array(F.lit(1.0)).alias("weights")
+    )
+    found = N.fit_topics(materialise(rows, "languages"), known, replace(TEXT, stability_iterations=1), sum(counts), [2, 3])
+    errors = N.topic_count_comparison(found, known, spark).select("topics", "relative_reconstruction_error")
+    leading = F.array_position("weights", F.array_max("weights")).cast("int")
+    named = found.components(spark).select(F.col("k").alias("topics"), F.get(F.array(*[F.lit(n) for n in names]), leading - 1).alias("language"))
+    joined = materialise(rounded(named.join(errors, "topics"), 6, "relative_reconstruction_error"), "language-fit")
+    found.release()
+    return joined
+
+
 @registered
 def reconstruction_error(spark, sf_dir):
     fits = model(spark, sf_dir).fits

@@ -258,17 +258,20 @@ def overall_summary(scores: DataFrame) -> DataFrame:
     return summary.select(F.lit("all usable documents").alias("scope"), *summary.columns)
 
 
-def parsed_time(column: str) -> Column:
-    return F.try_to_timestamp(F.col(column).cast("string"))
+def parsed_time(column: str, formats: Sequence[str] = ()) -> Column:
+    """A time in the standard form or in the first of ``formats`` that fits; null for any other text."""
+    text = F.col(column).cast("string")
+    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(form)) for form in formats])
 
 
-def time_parse_rate(scores: DataFrame, time_column: str) -> DataFrame:
+def time_parse_rate(scores: DataFrame, time_column: str, formats: Sequence[str] = ()) -> DataFrame:
     """One row: share of scored documents whose declared time can be read."""
-    return scores.agg(F.avg(parsed_time(time_column).isNotNull().cast("double")).alias("parse_rate"))
+    return scores.agg(F.avg(parsed_time(time_column, formats).isNotNull().cast("double")).alias("parse_rate"))
 
 
-def time_summary(scores: DataFrame, time_column: str, grain: str) -> DataFrame:
-    timed = scores.withColumn("period", period_label(parsed_time(time_column), grain))
+def time_summary(scores: DataFrame, time_column: str, grain: str, formats: Sequence[str] = ()) -> DataFrame:
+    """Score summary of each calendar period, in the session's time zone."""
+    timed = scores.withColumn("period", period_label(parsed_time(time_column, formats), grain))
     return score_summary(timed.filter(F.col("period").isNotNull()), "period").orderBy("period")
 
 

@@ -33,7 +33,9 @@ MISSING_MARKS = (
     "nan",
     "null",
 )
-BAD_ROW = "__bad_row"
+SPARE_CELLS = 4
+MOST_BROADCAST_SPLITS = 100_000
+MOST_LISTED_FILES = 1_000
 BYTE_ORDER_MARK = "﻿"
 
 
@@ -97,23 +99,18 @@ def read_csv(
     ``multiline=False`` they may not, and one large file is then split over tasks.
     """
     marks = list(na_values)
-    options = dict(
-        header=True, multiLine=multiline, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_ROW, enforceSchema=True,
+    reader = spark.read.options(
+        header=True, multiLine=multiline, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
-    head = spark.read.options(**{**options, "inferSchema": False}).csv(path)
-    names = head.columns
-    rows = spark.read.options(**options).schema(
-        S.StructType([*[S.StructField(name, S.StringType()) for name in names], S.StructField(BAD_ROW, S.StringType())])
-    ).csv(path)
-    # A short row is marked bad as well, but it has a null in its last column; a long row has none.
-    last = F.col(_quoted(names[-1]))
-    too_long = F.col(BAD_ROW).isNotNull() & last.isNotNull()
-    message = F.concat(F.lit("A CSV row has more cells than the header: "), F.substring(BAD_ROW, 1, 200))
-    checked = F.when(too_long, F.raise_error(message)).otherwise(F.col(_quoted(names[0]))).cast("string")
+    names = reader.csv(path).columns
+    spare = [f"__spare_{i}" for i in range(SPARE_CELLS)]  # filled only by rows with more cells than the header
+    rows = reader.schema(S.StructType([S.StructField(name, S.StringType()) for name in [*names, *spare]])).csv(path)
+    message = F.concat(F.lit("A CSV row has more cells than the header: "), F.coalesce(F.col(_quoted(names[0])), F.lit("")))
+    too_long = F.coalesce(*spare).isNotNull()
+    rows = rows.where(F.when(too_long, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
     def cell(name: str):
-        column = checked if name == names[0] else F.col(_quoted(name))
+        column = F.col(_quoted(name))
         return F.when(~column.isin(marks), column).alias(name)
 
     texts = checked_shape(rows.select(*[cell(name) for name in names]), **limits)
@@ -187,7 +184,8 @@ def read_lines(spark: SparkSession, path: str, **limits) -> DataFrame:
     before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     number = F.col("offset") + F.col("seen") - F.col("first") + 1
-    numbered = lines.join(offsets, ["file", "start"]).select(
+    few = offsets.limit(MOST_BROADCAST_SPLITS + 1).count() <= MOST_BROADCAST_SPLITS
+    numbered = lines.join(F.broadcast(offsets) if few else offsets, ["file", "start"]).select(
         F.format_string("TXT-%06d", number).alias("document_id"), "text"
     )
     return checked_shape(numbered, **limits)
@@ -215,6 +213,15 @@ def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return files.select(name.alias("source_filename"), F.sha2("content", 256).alias("source_sha256"))
 
 
+def read_with_source(spark: SparkSession, path: str, **options) -> tuple[DataFrame, dict]:
+    """A table and the record of where it came from: each file's name and hash, or the rows' hash where there are many files."""
+    df = read_table(spark, path, **options)
+    files = file_fingerprints(spark, path).orderBy("source_filename").limit(MOST_LISTED_FILES + 1).collect()
+    if len(files) > MOST_LISTED_FILES:
+        return df, {"path": path, **content_fingerprint(df).first().asDict()}
+    return df, {"path": path, "files": [row.asDict() for row in files]}
+
+
 def content_fingerprint(df: DataFrame) -> DataFrame:
     """One row that identifies a table's rows in any order and partitioning.
 

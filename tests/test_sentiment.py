@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexprism import DataProblem, SentimentConfig, analyze_sentiment
 from lexprism.functions.stats import period_label, t_quantile
 from lexprism.operators import sentiment as M
+from lexprism.operators import lexicon as L
 from lexprism.operators.lexicon import NEGATING, STRENGTHENING, WEAKENING, read_lexicon
 
 WORDS = {"good": 1.9, "bad": -2.5, "great": 3.1, "awful": -2.0, "no": -1.2, "fine": 0.8}
@@ -202,3 +203,26 @@ def test_too_few_documents_are_refused(spark, lexicon):
 def test_lexicon_file(spark, tmp_path):
     (tmp_path / "words.txt").write_text("good\t1.9\t0.9\t[1, 2]\n:)\t2.0\t0.5\t[2]\nnumber\tx\n")
     assert {tuple(r) for r in read_lexicon(spark, str(tmp_path)).collect()} == {("good", 1.9), (":)", 2.0)}
+
+
+def test_further_time_formats(spark):
+    df = spark.createDataFrame([("2025-01-05",), ("1/6/2025",), ("7 Jan 2025",), ("soon",), (None,)], "t string")
+    read = df.select("t", M.parsed_time("t", ("M/d/yyyy", "d MMM yyyy")).cast("date").cast("string").alias("day"))
+    assert [r["day"] for r in read.collect()] == ["2025-01-05", "2025-01-06", "2025-01-07", None, None]
+    assert M.time_parse_rate(df, "t").first()[0] == 0.2 and M.time_parse_rate(df, "t", ("M/d/yyyy",)).first()[0] == 0.4
+
+
+def test_summary_is_exact_whatever_the_partitions(spark):
+    values = [0.1234, -0.9999, 0.5, 0.0001] * 500
+    df = spark.createDataFrame([(v,) for v in values], "compound double")
+    one, many = (M.score_summary(df.repartition(n)).first() for n in (1, 7))
+    assert one == many
+    assert one["mean_compound"] == sum(round(v * 10_000) for v in values) / (10_000 * len(values))
+
+
+def test_words_join_like_the_lookup_in_the_task(spark):
+    lexicon = spark.createDataFrame([("good", 2.0), ("bad", -1.5)], "word string, valence double")
+    df = spark.createDataFrame([(1, ["good", "x", "bad", "good"]), (2, []), (3, ["y"])], "doc_key long, words array<string>")
+    joined = {r["doc_key"]: r["valences"] for r in L.with_valences(df, lexicon, in_task_limit=1).collect()}
+    near = {r["doc_key"]: r["valences"] for r in L.with_valences(df, lexicon).collect()}
+    assert joined == near == {1: [2.0, None, -1.5, 2.0], 2: [], 3: [None]}

@@ -124,3 +124,34 @@ def test_contract_rules():
         check_contract({"group": "g", "focal_group": "a", "reference_group": "a"})
     with pytest.raises(DataProblem):
         check_contract({"human_label_column": "h", "negative_label": "a", "positive_label": "a"})
+
+
+def test_missing_marks_in_numbers_and_strict_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,score,day\na,1,2025-01-02\nb,n/a,\nc,3\n,NULL,2025-01-03\n")
+    df = R.read_csv(spark, str(tmp_path / "a.csv"))
+    assert dict(df.dtypes) == {"name": "string", "score": "bigint", "day": "date"}
+    assert [r["score"] for r in df.orderBy(F.col("name").asc_nulls_last()).collect()] == [1, None, 3, None]
+    typed = R.read_csv(spark, str(tmp_path / "a.csv"), schema="who string, points double, at string")
+    assert [r["points"] for r in typed.orderBy(F.col("who").asc_nulls_last()).collect()] == [1.0, None, 3.0, None]
+    (tmp_path / "b.csv").write_text("name,score\na,1\nb,2,lost\n")
+    with pytest.raises(Exception, match="more cells"):
+        R.read_csv(spark, str(tmp_path / "b.csv")).select("score").collect()
+
+
+def test_json_shape_is_decided_for_each_file(spark, tmp_path):
+    folder = tmp_path / "rows"
+    folder.mkdir()
+    (folder / "1.json").write_text('[{"a": 1}, {"a": 2}]')
+    (folder / "2.json").write_text('{"data": [{"a": 3}]}')
+    for schema in (None, "a long"):
+        assert sorted(r["a"] for r in R.read_json(spark, str(folder), schema=schema).collect()) == [1, 2, 3]
+    (tmp_path / "cut.json").write_text('[{"a": 1}, {"a"')
+    with pytest.raises(Exception):
+        R.read_json(spark, str(tmp_path / "cut.json"), schema="a long").collect()
+
+
+def test_table_with_its_source(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,x\n")
+    df, source = R.read_with_source(spark, str(tmp_path / "a.csv"))
+    assert df.count() == 1
+    assert source["files"] == [{"source_filename": "a.csv", "source_sha256": hashlib.sha256(b"a,b\n1,x\n").hexdigest()}]

@@ -318,3 +318,23 @@ def test_compared_counts():
     assert N.compared_counts(3, 500, 4) == [2, 3]
     with pytest.raises(DataProblem):
         N.compared_counts(3, 2, 2)
+
+
+def test_sample_starts_go_on_until_they_are_steady(spark, planted_matrix):
+    vocabulary, matrix = planted_matrix
+    terms = len(vocabulary.terms)
+    rows = matrix.filter("size(indices) > 0").withColumn("member", F.array(F.lit(True), F.crc32(F.col("doc_key").cast("binary")) % 5 > 0))
+    full = Y.full_spectrum(rows, terms, 3, 1)
+    samples = Y.sample_spectra(rows, full, [3, 3])
+    assert full.steady and all(s.steady and 1 < s.steps < Y.MOST_STEPS for s in samples)
+    assert np.allclose(samples[0].values[:3], full.values[:3], rtol=1e-3)
+
+
+def test_rows_stop_on_their_own():
+    draw = np.random.default_rng(2)
+    h = draw.random((3, 9))
+    x = draw.random((20, 9))
+    together, unfinished = X.solved_rows((x @ h.T)[None], (h @ h.T)[None])
+    alone = np.vstack([X.row_weights((row[None] @ h.T)[None], (h @ h.T)[None])[0] for row in x])
+    assert np.array_equal(together[0], alone) or np.allclose(together[0], alone, rtol=0, atol=1e-12)
+    assert not unfinished.any()
