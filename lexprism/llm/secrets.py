@@ -28,13 +28,13 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 # Weak parts.
 IDENTIFIER = re.compile(
-    r"""\b(?:client_?id|access_?key_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""",
+    r"""(?<![A-Za-z0-9])(?:client_?id|access_?key_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""",
     re.IGNORECASE | re.ASCII,
 )
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])"
-                    r"[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])"
+                    r"[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 SHORT_SECRET = re.compile(
-    r"""\b(?:pwd|pass|passphrase|password|secret|token|auth|credential)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%-]{6,})""",
+    r"""(?<![A-Za-z0-9])(?:pwd|pass|passphrase|passwd|password|secret|token|auth|credential)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%-]{6,})""",
     re.IGNORECASE | re.ASCII,
 )
 ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+", re.ASCII)
@@ -87,7 +87,8 @@ def linked_findings(text: str, base: list[Finding], reach: int) -> list[Finding]
                 out.append((a, b))
         return out
 
-    weak = sorted({m.span() for pattern in (OPAQUE, SHORT_SECRET) for m in pattern.finditer(text)})
+    opaque = apart([m.span() for m in OPAQUE.finditer(text)], identifiers)  # an account's own value does not complete it
+    weak = sorted({*opaque, *(m.span() for m in SHORT_SECRET.finditer(text))})
     weak = apart(apart(weak, covered), sorted(endpoints))
     identifiers = apart(identifiers, covered)
     breaks = [m.start() for m in SCOPE_END.finditer(text)]

@@ -132,6 +132,20 @@ def test_weak_parts_are_reported_only_together():
     assert [k for k, *_ in spans(f"AKIA{'C' * 16} {opaque}")] == ["access", "linked_secret"]
 
 
+def test_weak_parts_in_env_form():
+    value = "wJalrXUtnFEMI/K7MDENG+bPxRfiCYzzzzzzzKEY"
+    text = f"AWS_ACCESS_KEY_ID=AKIA{'C' * 16}\nexport AWS_SECRET_ACCESS_KEY={value}"
+    assert [(k, text[a:b]) for k, a, b in spans(text)] == [("access", "AKIA" + "C" * 16), ("linked_secret", value)]
+    for user, secret in [("DB_USER=admin", "DB_PASSWORD=hunter2"), ("mysql-user=root", "MYSQL_PWD=hunter2"), ("SMTP_LOGIN: me_1", "SMTP_PASSWD: hunter2")]:
+        assert [k for k, *_ in spans(f"{user}\n{secret}")] == ["linked_id", "linked_secret"]
+        assert spans(user) == [] and spans(secret) == []
+    urlsafe = "ab-Cd_12" * 4
+    assert [k for k, *_ in spans(f"CLIENT_ID=my-app\nKEY={urlsafe}")] == ["linked_id", "linked_secret"]
+    assert [k for k, *_ in spans(f"APP_KEY={urlsafe} https://db.example.com/x")] == ["linked_secret", "linked_endpoint"]
+    assert spans(f"CLIENT_ID={urlsafe}") == [] and spans(f"KEY={urlsafe}") == []  # one part alone
+    assert spans("compass=northern superuser=admin") == []  # other words that end alike
+
+
 def test_scan_and_redact(spark):
     rows = [(1, "pwd token = abcdefghijklmnop end", "k"), (2, None, "k"), (3, "", "k"), (1, "clean text", "k"), (4, "x " * 100_000 + "f" * 20, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, findings string")
