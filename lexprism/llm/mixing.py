@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .token_counts import token_counts
 
 MAX_SOURCES = 10_000
 BLOCK_DOCUMENTS = 10_000
@@ -68,6 +69,12 @@ def word_total(text: Column | str) -> Column:
     return F.greatest(F.regexp_count(column, F.lit(r"\S+")), F.lit(1)).cast("long")
 
 
+def with_tokens(df: DataFrame, tokenizer: str, keep: tuple[str, ...], text: str = "text") -> DataFrame:
+    """``keep`` columns and ``n_tokens`` of every row, at least 1: counted once and written, as mixing reads them several times."""
+    counted = token_counts(df, tokenizer, text, keep=keep)
+    return materialise(counted.select(*keep, F.greatest("n_tokens", F.lit(1).cast("long")).alias("n_tokens")), "mix-tokens")
+
+
 def mix_sources(
     df: DataFrame,
     source: str = "source",

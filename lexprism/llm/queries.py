@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .chat import ASSISTANT, format_examples, read_back
 from .exact_search import top_k
 from .language import predict_languages, train_languages
-from .mixing import mix_sources
+from .mixing import mix_sources, with_tokens
 from .packing import pack
 from .quality import in_fold, score_quality, train_quality
 from .secrets import BASE, scan_secrets, span_list
@@ -65,7 +65,9 @@ def op2_token_counts(spark, sf_dir):
 
 @registered
 def op3_source_mixing(spark, sf_dir):
-    drawn = mix_sources(table(spark, sf_dir, "documents"))
+    documents = table(spark, sf_dir, "documents").withColumn("text_hash", F.xxhash64("text"))
+    counted = with_tokens(documents, TOKENIZER, ("doc_id", "source", "lang", "n_chars", "text_hash"))
+    drawn = mix_sources(counted, tokens=F.col("n_tokens"))
     return drawn.select("doc_id", "source", "mix_copy", "mix_block", "mix_tokens", "mix_weight")
 
 

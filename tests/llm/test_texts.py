@@ -203,6 +203,35 @@ def test_exponent_meets_entropy_and_repetition():
     assert exponent_for([0.25] * 4, 0.9, 2.0) == 1.0
 
 
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_sources_are_mixed_by_tokens(spark, tmp_path, pipeline):
+    """A source of texts without blanks has the share of its tokens, not one word a text."""
+    import corpus_pipeline
+    from lexprism.llm.queries import QUERIES, TOKENIZER
+    from lexprism.llm.token_counts import counted
+
+    rows = [(k, "plain words of prose " * 5, "en", "prose", 105) for k in range(60)]
+    rows += [(100 + k, f"{k}Zx9/aB3+" * 60, "en", "dense", 480) for k in range(30)] + [(200, "", "en", "empty", 0), (201, None, "en", "empty", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    n = dict(zip((r[0] for r in rows), counted([r[1] or "" for r in rows], TOKENIZER).tolist()))
+    sums: dict = {}
+    for doc, _, _, source, _ in rows:
+        sums[source] = sums.get(source, 0) + max(1, n[doc])
+    shares = [t / sum(sums.values()) for t in sums.values()]
+    weights = dict(zip(sums, tempered(shares, exponent_for(shares, 0.9, 2.0))))
+    if pipeline:
+        drawn = corpus_pipeline.mixing(spark, df, "").collect()
+        budget = max(sums[s] / w for s, w in weights.items())
+        for source, weight in weights.items():
+            spent = [max(1, n[r.doc_id]) for r in drawn if r.source == source]
+            assert budget * weight - 1 <= sum(spent) < budget * weight + max(spent)
+    else:
+        df.write.parquet(f"{tmp_path}/documents.parquet")
+        drawn = QUERIES["op3_source_mixing"](spark, str(tmp_path)).collect()
+        assert all(r.mix_tokens == max(1, n[r.doc_id]) and abs(r.mix_weight - weights[r.source]) < 1e-9 for r in drawn)
+    assert {r.doc_id for r in drawn} == set(n)
+
+
 def test_mixing_meets_its_budgets(spark):
     draw = random.Random(2)
     rows = [(k, "w " * draw.randint(1, 60), "big" if k % 3 else f"s{k % 7}", "x") for k in range(900)]
