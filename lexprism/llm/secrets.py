@@ -2,7 +2,7 @@
 
 Strong findings stand on their own. Weak parts (an account name, an opaque
 string, an address) say nothing alone; they are reported only where parts that
-complete each other lie in one scope, within reach of one another.
+complete each other lie in one scope, within reach of one another if a reach is given.
 """
 
 from __future__ import annotations
@@ -56,8 +56,8 @@ def base_findings(text: str) -> list[Finding]:
     return found
 
 
-def linked_findings(text: str, base: list[Finding], reach: int) -> list[Finding]:
-    """Weak parts completed by another part of the same scope, at most ``reach`` characters away.
+def linked_findings(text: str, base: list[Finding], reach: int | None) -> list[Finding]:
+    """Weak parts completed by another part of the same scope, at most ``reach`` characters away if that is given.
 
     A weak secret needs an identifier or an endpoint; a weak identifier or an
     endpoint needs a secret, weak or strong. Parts inside a base finding's value
@@ -92,6 +92,7 @@ def linked_findings(text: str, base: list[Finding], reach: int) -> list[Finding]
     weak = apart(apart(weak, covered), sorted(endpoints))
     identifiers = apart(identifiers, covered)
     breaks = [m.start() for m in SCOPE_END.finditer(text)]
+    reach = len(text) if reach is None else reach
 
     def near(spans: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """Interval join: spans with one of the others in the same scope and within reach."""
@@ -116,7 +117,7 @@ def linked_findings(text: str, base: list[Finding], reach: int) -> list[Finding]
     return found
 
 
-def findings(text: str | None, reach: int) -> list[dict]:
+def findings(text: str | None, reach: int | None = None) -> list[dict]:
     text = text or ""
     base = base_findings(text)
     every = sorted(base + linked_findings(text, base, reach), key=lambda f: (f[0], ORDER[f[2]], f[1]))
@@ -126,13 +127,13 @@ def findings(text: str | None, reach: int) -> list[dict]:
 FINDINGS = "array<struct<kind: string, start: long, end: long, value_start: long>>"
 
 
-def secret_findings(text: Column | str, reach: int = 200) -> Column:
+def secret_findings(text: Column | str, reach: int | None = None) -> Column:
     """All findings of a whole text, by start, then kind; positions are code points, ends exclusive.
 
     Kinds ``assign``, ``access`` and ``hex`` are the base patterns, the
-    ``linked_`` kinds weak parts that complete one another within ``reach``
-    characters of one scope (a stretch without an empty line). A null or empty
-    text has none. Each row is judged alone: nothing is shuffled or gathered.
+    ``linked_`` kinds weak parts that complete one another within one
+    scope (a stretch without an empty line), however long it is unless ``reach``
+    bounds the characters between them. A null or empty text has none. Each row is judged alone: nothing is shuffled or gathered.
     """
 
     def scan(texts: pd.Series) -> pd.Series:
@@ -148,12 +149,12 @@ def span_list(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
 
 
-def scan_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), reach: int = 200) -> DataFrame:
+def scan_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), reach: int | None = None) -> DataFrame:
     """``keep`` columns and ``findings`` of every row; repeated rows repeat, an empty table stays empty."""
     return df.select(*keep, secret_findings(text, reach).alias("findings"))
 
 
-def redact_secrets(df: DataFrame, text: str = "text", reach: int = 200, label: str = "[SECRET]") -> DataFrame:
+def redact_secrets(df: DataFrame, text: str = "text", reach: int | None = None, label: str = "[SECRET]") -> DataFrame:
     """``df`` with the value of every finding replaced by ``label``; all rows and columns stay.
 
     Only the value of an assignment goes, its name stays. Overlapping findings

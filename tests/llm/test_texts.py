@@ -146,6 +146,13 @@ def test_weak_parts_in_env_form():
     assert spans("compass=northern superuser=admin") == []  # other words that end alike
 
 
+def test_scope_alone_bounds_links(spark):
+    settings = "client_id: my_app\n" + "option: on\n" * 100 + "pwd: hunter2!"
+    df = spark.createDataFrame([(1, settings), (2, settings.replace("option: on\n", "\n", 2))], "doc_id long, text string")
+    found = {r.doc_id: [f.kind for f in r.findings] for r in scan_secrets(df).collect()}
+    assert found == {1: ["linked_id", "linked_secret"], 2: []}
+
+
 def test_scan_and_redact(spark):
     rows = [(1, "pwd token = abcdefghijklmnop end", "k"), (2, None, "k"), (3, "", "k"), (1, "clean text", "k"), (4, "x " * 100_000 + "f" * 20, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, findings string")
