@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from .chat import ASSISTANT, format_examples, read_back
 from .exact_search import top_k
 from .language import predict_languages, train_languages
+from .manifest import dataset_manifest
 from .mixing import mix_sources, with_tokens
 from .packing import pack
+from .pieces import piece_digests
 from .quality import in_fold, score_quality, train_quality
+from .ranked_search import ranked_search
 from .secrets import BASE, scan_secrets, span_list
 from .simhash import near_duplicates
 from .sketches import containment, fingerprint_edits, resemblance, sketch_text
@@ -23,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def registered(function: Query) -> Query:
@@ -157,3 +161,100 @@ def op10_secret_scan(spark, sf_dir):
     return found.select(
         "doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("findings")).alias("spans")
     )
+
+
+@registered
+def op11_ranked_search(spark, sf_dir):
+    return ranked_search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_ranked_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents WHERE text IS NOT NULL
+), full_ AS (SELECT row, doc_id, words, CAST(len(words) AS BIGINT) AS n FROM d WHERE len(words) > 0
+), whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM full_
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL
+), held AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(words) AS term FROM full_) WHERE term IN (SELECT term FROM q) GROUP BY row, term
+), weighed AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, whole GROUP BY term, docs
+), impact AS (
+  SELECT h.term, f.doc_id, f.row, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))) AS s
+  FROM held h JOIN weighed USING (term) JOIN full_ f USING (row), whole
+), scored AS (
+  SELECT item_id, doc_id, row, CAST(sum(s) AS BIGINT) AS score FROM q JOIN impact USING (term)
+  WHERE doc_id IS NOT NULL GROUP BY item_id, doc_id, row HAVING sum(s) > 0
+), placed AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored
+)
+SELECT * FROM placed WHERE rank <= 10
+"""
+
+
+def tampered_rows() -> Column:
+    """Every seventh row or so, by the checksum of its decimal id."""
+    return F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+
+
+@registered
+def op12_merkle_manifest(spark, sf_dir):
+    return dataset_manifest(table(spark, sf_dir, "documents"), tampered=tampered_rows())
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+_BEFORE = " || ".join(map(_field, ("doc_id", "source", "lang")))
+ORACLES["op12_merkle_manifest"] = f"""
+WITH RECURSIVE marked AS (
+  SELECT *, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+      lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)))) % 7 = 0 AS tampered
+  FROM documents
+), hashed AS (
+  SELECT doc_id, lang, sha256({_BEFORE} || {_field("n_chars")} || {_field("text")}) AS leaf,
+         CASE WHEN tampered THEN sha256({_BEFORE} || {_field("(n_chars + 1)")} || {_field("text")}) END AS altered
+  FROM marked
+), trees AS (
+  SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS t FROM (SELECT DISTINCT lang FROM hashed)
+), leaves AS (
+  SELECT doc_id, leaf, altered, t, row_number() OVER () AS row,
+         row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY t) AS n
+  FROM hashed JOIN trees ON hashed.lang IS NOT DISTINCT FROM trees.lang
+), nodes AS (
+  SELECT t, 0 AS level, i, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT t, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY t, level, i // 2, n
+), upper_nodes AS (
+  SELECT -1::BIGINT AS t, 0 AS level, t AS i, h, count(*) OVER () AS n FROM nodes WHERE n = 1
+  UNION ALL
+  SELECT t, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM upper_nodes WHERE n > 1 GROUP BY t, level, i // 2, n
+), every AS (SELECT * FROM nodes UNION ALL SELECT * FROM upper_nodes
+), walk AS (
+  SELECT row, t, 0 AS level, i, coalesce(altered, leaf) AS h, '' AS proof, false AS done FROM leaves
+  UNION ALL
+  SELECT w.row, CASE WHEN o.n > 1 THEN w.t ELSE -1 END, CASE WHEN o.n > 1 THEN w.level + 1 ELSE 0 END,
+         CASE WHEN o.n > 1 THEN w.i // 2 ELSE w.t END,
+         CASE WHEN o.n = 1 THEN w.h WHEN s.h IS NULL THEN sha256(w.h) WHEN w.i % 2 = 1 THEN sha256(s.h || w.h) ELSE sha256(w.h || s.h) END,
+         w.proof || coalesce(s.h, ''), o.n = 1 AND w.t = -1
+  FROM walk w JOIN every o ON o.t = w.t AND o.level = w.level AND o.i = w.i
+  LEFT JOIN every s ON s.t = w.t AND s.level = w.level AND s.i = xor(w.i, 1)
+  WHERE NOT w.done
+)
+SELECT l.doc_id, l.leaf, s.h AS subroot, r.h AS root, sha256(w.proof) AS proof_sha256, w.h AS folded_root, w.h = r.h AS verified
+FROM leaves l JOIN walk w ON w.row = l.row AND w.done JOIN nodes s ON s.t = l.t AND s.n = 1, (SELECT h FROM upper_nodes WHERE n = 1) r
+"""
+
+
+@registered
+def op13_piece_ids(spark, sf_dir):
+    return piece_digests(table(spark, sf_dir, "documents"), PIECES)
