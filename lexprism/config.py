@@ -74,7 +74,7 @@ class SentimentConfig:
     negative_label: str | None = None
     neutral_label: str | None = None
     voluntary_reviews: bool = False
-    time_formats: tuple[str, ...] = ()  # date patterns tried where the standard form cannot be read
+    time_formats: tuple[str, ...] = ()  # date patterns tried before the usual mixed forms
 
 
 def require_columns(df: DataFrame, **roles: str | None) -> None:

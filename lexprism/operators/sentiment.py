@@ -1,7 +1,7 @@
 """Rule-based lexicon scores per document and their aggregates.
 
-A document is scored from arrays held in its own row, so scoring moves no row
-between tasks whatever the length or number of documents.
+A document is scored in its own row, so scoring moves no row between tasks
+whatever the length or number of documents.
 """
 
 from __future__ import annotations
@@ -9,17 +9,27 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.arrays import bind, total
 from ..functions.stats import period_label, t_quantile
+from ..functions.times import mixed_time
 from .audit import MISSING
-from .lexicon import IN_TASK_LEXICON_LIMIT, NEGATING, STRENGTHENING, WEAKENING, with_valences
+from .lexicon import (
+    IN_TASK_LEXICON_LIMIT,
+    NEGATING,
+    PHRASE_BOOSTS,
+    PHRASES,
+    STRENGTHENING,
+    WEAKENING,
+    joined_valences,
+    listed_words,
+)
+from .scoring import PUNCTUATION, Rules, score_sums
 
 SCORE_UNITS = 10_000  # compound scores have four decimals
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @dataclass(frozen=True)
@@ -43,6 +53,8 @@ class ScoreRules:
     weakening: tuple[str, ...] = WEAKENING
     negating: tuple[str, ...] = NEGATING
     contrast: str = "but"
+    phrases: tuple[tuple[str, float], ...] = PHRASES
+    phrase_boosts: tuple[tuple[str, float], ...] = PHRASE_BOOSTS
 
 
 RULES = ScoreRules()
@@ -60,117 +72,6 @@ def with_words(documents: DataFrame) -> DataFrame:
     return cased.withColumn("words", F.transform("cased", F.lower))
 
 
-def _token_facts(rules: ScoreRules) -> Column:
-    """Per word: word, valence (null if unlisted), booster, negation and capitals flags."""
-
-    def facts(cased: Column, word_valence: Column) -> Column:
-        word, valence = word_valence["word"], word_valence["valence"]
-        shouting = (F.upper(cased) == cased) & (F.lower(cased) != cased)
-        boost = F.when(word.isin(list(rules.strengthening)), F.lit(rules.booster))
-        boost = boost.when(word.isin(list(rules.weakening)), F.lit(-rules.booster))
-        return F.struct(
-            word.alias("word"),
-            valence.alias("valence"),
-            F.coalesce(boost, F.lit(0.0)).alias("boost"),
-            (word.isin(list(rules.negating)) | F.contains(word, F.lit("n't"))).alias("negates"),
-            shouting.alias("capitals"),
-        )
-
-    pairs = F.arrays_zip(F.col("words").alias("word"), F.col("valences").alias("valence"))
-    return F.zip_with("cased", pairs, facts)
-
-
-def _sign(value: Column) -> Column:
-    return F.when(value < 0, -1.0).otherwise(1.0)
-
-
-def _word_score(facts: Column, position: Column, mixed_case: Column, rules: ScoreRules) -> Column:
-    def at(offset: int) -> Column:
-        return F.get(facts, position + F.lit(offset))
-
-    def said(offset: int, *words: str) -> Column:
-        return F.coalesce(at(offset)["word"].isin(*words), F.lit(False))
-
-    token = at(0)
-    listed = token["valence"].isNotNull()
-    applies = listed & (token["boost"] == 0) & ~((token["word"] == "kind") & said(1, "of"))
-
-    stands_alone_no = (token["word"] == "no") & at(1)["valence"].isNotNull()
-    after_no = said(-1, "no") | said(-2, "no") | (said(-3, "no") & said(-1, "or", "nor"))
-    start = F.when(after_no, token["valence"] * rules.negation).when(stands_alone_no, F.lit(0.0))
-    start = start.otherwise(token["valence"])
-    capital_step = F.when(token["capitals"] & mixed_case, rules.capitals * _sign(start)).otherwise(0.0)
-
-    def step(value: Column, back: int) -> Column:
-        earlier = at(-back)
-        lift = F.when(
-            earlier["boost"] != 0,
-            earlier["boost"] * _sign(value)
-            + F.when(earlier["capitals"] & mixed_case, rules.capitals * _sign(value)).otherwise(0.0),
-        ).otherwise(0.0)
-        negated = F.coalesce(earlier["negates"], F.lit(False))
-        factor = F.when(negated, F.lit(rules.negation)).otherwise(1.0)
-        if back == 2:
-            emphatic = said(-2, "never") & said(-1, "so", "this")
-            sure = said(-2, "without") & said(-1, "doubt")
-            factor = F.when(emphatic, F.lit(rules.never_so)).when(sure, F.lit(1.0)).otherwise(factor)
-        if back == 3:
-            emphatic = (said(-3, "never") & said(-2, "so", "this")) | said(-1, "so", "this")
-            sure = said(-3, "without") & (said(-2, "doubt") | said(-1, "doubt"))
-            factor = F.when(emphatic, F.lit(rules.never_so)).when(sure, F.lit(1.0)).otherwise(factor)
-        moved = (value + lift * rules.distance_scale[back - 1]) * factor
-        counts = (position >= back) & earlier["valence"].isNull()
-        return F.when(counts, moved).otherwise(value)
-
-    value = bind(start + capital_step, lambda v: step(v, 1))
-    value = bind(value, lambda v: step(v, 2))
-    value = bind(value, lambda v: step(v, 3))
-    least = said(-1, "least") & at(-1)["valence"].isNull() & ~said(-2, "at", "very")
-    value = F.when(least, value * rules.negation).otherwise(value)
-    return F.when(applies, value).otherwise(0.0)
-
-
-def _around_contrast(scores: Column, words: Column, rules: ScoreRules) -> Column:
-    """Weaken what comes before the first contrasting word and strengthen what follows."""
-
-    def reweighted(pair: Column) -> Column:
-        where, listed = pair["where"] - 1, pair["scores"]
-        weigh = lambda v, i: (
-            v * F.when(i < where, rules.before_but).when(i > where, rules.after_but).otherwise(1.0)
-        )
-        return F.when(where >= 0, F.transform(listed, weigh)).otherwise(listed)
-
-    return bind(F.struct(F.array_position(words, rules.contrast).alias("where"), scores.alias("scores")), reweighted)
-
-
-def _emphasis(norm: Column, rules: ScoreRules) -> Column:
-    def occurrences(mark: str) -> Column:
-        return F.char_length(norm) - F.char_length(F.replace(norm, F.lit(mark), F.lit("")))
-
-    shouts = F.least(occurrences("!"), F.lit(rules.exclamation_cap)) * rules.exclamation
-    marks = occurrences("?")
-    asks = F.when(marks > 3, rules.question_cap).when(marks > 1, marks * rules.question).otherwise(0.0)
-    return shouts + asks
-
-
-def word_scores(documents: DataFrame, rules: ScoreRules = RULES) -> DataFrame:
-    """Replace word arrays by ``scores`` (one number per word) and ``emphasis``."""
-    keep = [c for c in documents.columns if c not in ("cased", "words", "valences", "norm_text")]
-
-    def scored(row: Column) -> Column:
-        facts = row["facts"]
-        loud = F.size(F.filter(facts, lambda f: f["capitals"]))
-        spread = bind(
-            F.struct(facts.alias("facts"), ((loud > 0) & (loud < F.size(facts))).alias("mixed")),
-            lambda s: F.transform(s["facts"], lambda f, i: _word_score(s["facts"], i, s["mixed"], rules)),
-        )
-        return spread
-
-    scores = bind(F.struct(_token_facts(rules).alias("facts")), scored)
-    per_word = documents.select(*keep, "words", scores.alias("scores"), _emphasis(F.col("norm_text"), rules).alias("emphasis"))
-    return per_word.withColumn("scores", _around_contrast(F.col("scores"), F.col("words"), rules)).drop("words")
-
-
 def predicted_label(compound: Column, binary: bool) -> Column:
     if binary:
         return F.when(compound >= 0, "positive").otherwise("negative")
@@ -178,23 +79,43 @@ def predicted_label(compound: Column, binary: bool) -> Column:
     return F.when(compound >= t, "positive").when(compound <= -t, "negative").otherwise("neutral")
 
 
+def _summed(rules: ScoreRules, words: Sequence[str], valences: Sequence[float], looked_up: bool):
+    """The scoring kernel as a column function of the text, and of its words' valences where these were joined."""
+    ready = Rules(rules, words, valences)
+
+    def in_task(texts: pa.Array) -> pa.Array:
+        return score_sums(texts, None, ready)
+
+    def joined(texts: pa.Array, found: pa.Array) -> pa.Array:
+        return score_sums(texts, found, ready)
+
+    kernel = joined if looked_up else in_task
+    arguments = ("texts", "found") if looked_up else ("texts",)
+    kernel.__annotations__ = {name: pa.Array for name in (*arguments, "return")}
+    return F.arrow_udf(kernel, "raw double, up double, down double, flat double, emphasis double")
+
+
 def document_scores(
     documents: DataFrame,
     lexicon: DataFrame,
     rules: ScoreRules = RULES,
     in_task_limit: int = IN_TASK_LEXICON_LIMIT,
 ) -> DataFrame:
-    """Proportions, compound score and label per row of ``documents`` (needs ``norm_text``)."""
-    per_word = word_scores(with_valences(with_words(documents), lexicon, in_task_limit), rules)
-    keep = [c for c in per_word.columns if c not in ("scores", "emphasis")]
-    sums = per_word.select(
-        *keep,
-        "emphasis",
-        total("scores").alias("raw"),
-        F.aggregate("scores", F.lit(0.0), lambda a, v: a + F.when(v > 0, v + 1.0).otherwise(0.0)).alias("up"),
-        F.aggregate("scores", F.lit(0.0), lambda a, v: a + F.when(v < 0, 1.0 - v).otherwise(0.0)).alias("down"),
-        F.size(F.filter("scores", lambda v: v == 0)).alias("flat"),
-    )
+    """Proportions, compound score and label per row of ``documents`` (needs ``norm_text``).
+
+    Each text is visited once, in its own row. A lexicon of up to
+    ``in_task_limit`` words travels with the tasks; the words of a larger one
+    are joined first.
+    """
+    keep = [c for c in documents.columns if c != "norm_text"]
+    words, valences = listed_words(lexicon, in_task_limit)
+    if words is None:
+        found = joined_valences(with_words(documents), lexicon)
+        kernel = _summed(rules, (), (), True)(F.col("norm_text"), F.col("valences"))
+    else:
+        found = documents
+        kernel = _summed(rules, words, valences, False)(F.col("norm_text"))
+    sums = found.select(*keep, kernel.alias("_sums")).select(*keep, "_sums.*")
     pushed = sums.withColumn("raw", F.col("raw") + F.signum("raw") * F.col("emphasis"))
     up = F.when(F.col("up") > F.col("down"), F.col("up") + F.col("emphasis")).otherwise(F.col("up"))
     down = F.when(F.col("down") > F.col("up"), F.col("down") + F.col("emphasis")).otherwise(F.col("down"))
@@ -258,20 +179,28 @@ def overall_summary(scores: DataFrame) -> DataFrame:
     return summary.select(F.lit("all usable documents").alias("scope"), *summary.columns)
 
 
-def parsed_time(column: str, formats: Sequence[str] = ()) -> Column:
-    """A time in the standard form or in the first of ``formats`` that fits; null for any other text."""
+def parsed_time(column: str, formats: Sequence[str] = (), days_first: frozenset[str] | None = None) -> Column:
+    """A time in the standard form or in the first of ``formats`` that fits; null for any other text.
+
+    With ``days_first`` (see ``functions.times``) the usual mixed forms are read too.
+    """
     text = F.col(column).cast("string")
-    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(form)) for form in formats])
+    mixed = [] if days_first is None else [mixed_time(text, days_first)]
+    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(form)) for form in formats], *mixed)
 
 
-def time_parse_rate(scores: DataFrame, time_column: str, formats: Sequence[str] = ()) -> DataFrame:
+def time_parse_rate(
+    scores: DataFrame, time_column: str, formats: Sequence[str] = (), days_first: frozenset[str] | None = None
+) -> DataFrame:
     """One row: share of scored documents whose declared time can be read."""
-    return scores.agg(F.avg(parsed_time(time_column, formats).isNotNull().cast("double")).alias("parse_rate"))
+    return scores.agg(F.avg(parsed_time(time_column, formats, days_first).isNotNull().cast("double")).alias("parse_rate"))
 
 
-def time_summary(scores: DataFrame, time_column: str, grain: str, formats: Sequence[str] = ()) -> DataFrame:
+def time_summary(
+    scores: DataFrame, time_column: str, grain: str, formats: Sequence[str] = (), days_first: frozenset[str] | None = None
+) -> DataFrame:
     """Score summary of each calendar period, in the session's time zone."""
-    timed = scores.withColumn("period", period_label(parsed_time(time_column, formats), grain))
+    timed = scores.withColumn("period", period_label(parsed_time(time_column, formats, days_first), grain))
     return score_summary(timed.filter(F.col("period").isNotNull()), "period").orderBy("period")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lexprism import DataProblem, SentimentConfig, analyze_sentiment
 from lexprism.functions.stats import period_label, t_quantile
+from lexprism.functions import times
+from lexprism.operators import scoring as S
 from lexprism.operators import sentiment as M
 from lexprism.operators import lexicon as L
 from lexprism.operators.lexicon import NEGATING, STRENGTHENING, WEAKENING, read_lexicon
@@ -223,6 +225,139 @@ def test_summary_is_exact_whatever_the_partitions(spark):
 def test_words_join_like_the_lookup_in_the_task(spark):
     lexicon = spark.createDataFrame([("good", 2.0), ("bad", -1.5)], "word string, valence double")
     df = spark.createDataFrame([(1, ["good", "x", "bad", "good"]), (2, []), (3, ["y"])], "doc_key long, words array<string>")
-    joined = {r["doc_key"]: r["valences"] for r in L.with_valences(df, lexicon, in_task_limit=1).collect()}
-    near = {r["doc_key"]: r["valences"] for r in L.with_valences(df, lexicon).collect()}
-    assert joined == near == {1: [2.0, None, -1.5, 2.0], 2: [], 3: [None]}
+    joined = {r["doc_key"]: r["valences"] for r in L.joined_valences(df, lexicon).collect()}
+    assert joined == {1: [2.0, None, -1.5, 2.0], 2: [], 3: [None]}
+
+
+PHRASED = [
+    ("it was really the bomb stuff", {"bomb": 1.0}, 3.0),  # the phrase goes over the word and its boosters
+    ("it was really the bomb bad stuff", {"bomb": 1.0}, 6.0),  # and over a listed word right behind it
+    ("so what about broken heart today", {"heart": 1.0}, -2.9),
+    ("one two kiss of death now", {"kiss": 2.0}, 2.0),  # no word three places before it: phrases are not looked at
+    ("one two three kiss of death now", {"kiss": 2.0}, -1.5),  # a phrase that begins at the word
+    ("we were just enough good", {"good": 2.0}, 2.0 - 0.293),
+    ("he is sort of good", {"good": 2.0}, 2.0 - 0.293),
+    ("good day is sort of good", {"good": 2.0}, 4.0 - 0.293),
+]
+
+
+@pytest.mark.parametrize("text, words, total", PHRASED)
+def test_phrases(spark, text, words, total):
+    listed = spark.createDataFrame(list(words.items()) + [("bad", 0.0)], "word string, valence double")
+    df = spark.createDataFrame([(1, text)], "doc_key int, norm_text string")
+    assert M.document_scores(df, listed).first()["compound"] == pytest.approx(squeeze(total), abs=1e-4)
+
+
+def test_phrases_have_two_or_three_words(spark, lexicon):
+    with pytest.raises(ValueError, match="two or three"):
+        S.Rules(M.ScoreRules(phrases=(("one", 1.0),)), ["a"], [1.0]).phrases
+
+
+def test_emoji_are_spelled_out(spark, lexicon):
+    emoji = spark.createDataFrame([("😀", "good face"), ("💔", "broken heart"), ("xy", "two characters")], "emoji string, description string")
+    texts = ["plain", "😀", "a😀b", "a 😀😀 c", "x 💔", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_key int, norm_text string")
+    read = [r["norm_text"] for r in L.with_emoji_words(df, emoji).orderBy("doc_key").collect()]
+    assert read == ["plain", "good face", "a good faceb", "a good face good face c", "x broken heart", None, ""]
+    assert [r["norm_text"] for r in L.with_emoji_words(df, emoji.limit(0)).orderBy("doc_key").collect()] == texts
+
+
+def plain_score(text, words, rules):
+    """One word after the other, as the rule is published."""
+    tokens = [t if len(t.strip(S.PUNCTUATION)) <= 2 else t.strip(S.PUNCTUATION) for t in text.split(" ")]
+    low = [t.lower() for t in tokens]
+    boosts = {w: rules.booster for w in rules.strengthening} | {w: -rules.booster for w in rules.weakening}
+    loud = [t.upper() == t and t.lower() != t for t in tokens]
+    mixed = 0 < sum(loud) < len(tokens)
+    phrases, shifts = dict(rules.phrases), dict(rules.phrase_boosts)
+    sign = lambda v: -1.0 if v < 0 else 1.0
+    out = []
+    for i, w in enumerate(low):
+        v = words.get(w)
+        if v is None or w in boosts or (w == "kind" and low[i + 1 : i + 2] == ["of"]):
+            out.append(0.0)
+            continue
+        back = lambda k: low[i - k] if i >= k else ""
+        if "no" in (back(1), back(2)) or (back(3) == "no" and back(1) in ("or", "nor")):
+            v *= rules.negation
+        elif w == "no" and i + 1 < len(low) and low[i + 1] in words:
+            v = 0.0
+        if loud[i] and mixed:
+            v += rules.capitals * sign(v)
+        for k in (1, 2, 3):
+            if i < k or back(k) in words:
+                continue
+            if back(k) in boosts:
+                s = sign(v)
+                v += (boosts[back(k)] * s + (rules.capitals * s if loud[i - k] and mixed else 0.0)) * rules.distance_scale[k - 1]
+            emphatic = k > 1 and back(k) == "never" and back(k - 1) in ("so", "this") or k == 3 and back(1) in ("so", "this")
+            sure = k > 1 and back(k) == "without" and "doubt" in [back(j) for j in range(1, k)]
+            if emphatic:
+                v *= rules.never_so
+            elif not sure and (back(k) in rules.negating or "n't" in back(k)):
+                v *= rules.negation
+            if k == 3:
+                joined = lambda a, b: " ".join(low[i + a : i + b + 1])
+                for seq in (joined(-1, 0), joined(-2, 0), joined(-2, -1), joined(-3, -1), joined(-3, -2)):
+                    if seq in phrases:
+                        v = phrases[seq]
+                        break
+                for far in (1, 2):
+                    if i + far < len(low) and joined(0, far) in phrases:
+                        v = phrases[joined(0, far)]
+                for seq in (joined(-3, -1), joined(-3, -2), joined(-2, -1)):
+                    v += shifts.get(seq, 0.0)
+        if back(1) == "least" and back(1) not in words and back(2) not in ("at", "very"):
+            v *= rules.negation
+        out.append(v)
+    if rules.contrast in low:
+        at = low.index(rules.contrast)
+        out = [v * (rules.before_but if i < at else rules.after_but if i > at else 1.0) for i, v in enumerate(out)]
+    marks = text.count("?")
+    extra = min(text.count("!"), 4) * rules.exclamation + (rules.question_cap if marks > 3 else marks * rules.question if marks > 1 else 0)
+    raw = sum(out)
+    raw += extra * (raw > 0) - extra * (raw < 0)
+    return raw / math.sqrt(raw * raw + rules.normalising)
+
+
+def test_kernel_equals_word_by_word_scoring(spark, monkeypatch):
+    monkeypatch.setattr(S, "PART_BYTES", 700)
+    draw = __import__("random").Random(4)
+    pool = "good GOOD bad! great, no nor or never so this without doubt kind of least at very VERY but not isn't slightly x Y z. 'no' the bomb sort kiss death été ÉTÉ".split()
+    rules = M.ScoreRules(phrases=M.RULES.phrases + (("of least", -1.0), ("very good", 2.5), ("x bad great", 0.5)))
+    texts = [" ".join(draw.choices(pool, k=draw.randint(1, 25))) + draw.choice(["", "!", "??", "????"]) for _ in range(400)]
+    texts += ["", "good " * 30_000 + "x"]
+    words = WORDS | {"least": 0.3, "death": -2.9, "été": 1.1}
+    listed = spark.createDataFrame(list(words.items()), "word string, valence double")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_key int, norm_text string").repartition(3)
+    near = {r["doc_key"]: r["compound"] for r in M.document_scores(df, listed, rules).collect()}
+    far = {r["doc_key"]: r["compound"] for r in M.document_scores(df, listed, rules, in_task_limit=1).collect()}
+    assert near == far
+    assert all(near[i] == pytest.approx(plain_score(t, words, rules), abs=1e-4) for i, t in enumerate(texts))
+
+
+FORMS = [
+    ("2025-01-05", "2025-01-05 00:00:00"), ("2025/1/5 7:08", "2025-01-05 07:08:00"), ("20250105", "2025-01-05 00:00:00"),
+    ("1/5/2025", "2025-01-05 00:00:00"), ("1/25/2025 11:05 PM", "2025-01-25 23:05:00"), ("12/31/2024 12:30:15 am", "2024-12-31 00:30:15"),
+    ("5.1.2025", "2025-01-05 00:00:00"), ("31.12.2024 23:59", "2024-12-31 23:59:00"), ("5 Jan 2025", "2025-01-05 00:00:00"),
+    ("5-January-2025", "2025-01-05 00:00:00"), ("Jan 5, 2025", "2025-01-05 00:00:00"), ("Sun, 05 Jan 2025 10:20:30 +0200", "2025-01-05 08:20:30"),
+    ("2025-01-05T10:20:30.25Z", "2025-01-05 10:20:30.25"), ("2025-01-05 10:20:30+05:30", "2025-01-05 04:50:30"), ("September 3rd, 2024", "2024-09-03 00:00:00"),
+    ("13/13/2025", None), ("soon", None), ("", None), (None, None), ("5 Smarch 2025", None), ("2025-02-30", None), ("1/5/2025 25:00", None),
+    ("1/5/2025 13:00 PM", None),
+]
+
+
+def test_mixed_time_forms(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FORMS)], "i int, t string")
+    days_first = times.day_first(df, "t")
+    assert days_first == {"."}  # 31.12. decides for all rows with dots; slashes go by the month first
+    read = df.select("i", times.mixed_time("t", days_first).cast("string").alias("at")).orderBy("i").collect()
+    assert [r["at"] for r in read] == [at for _, at in FORMS]
+    assert times.day_first(df.limit(0), "t") == frozenset()
+
+
+def test_analysis_reads_mixed_times(spark, lexicon):
+    rows = [(f"good day {i}", ["2025-01-05", "1/6/2025", "7 Jan 2025", "soon"][i % 4]) for i in range(40)]
+    df = spark.createDataFrame(rows, "text string, at string")
+    found = analyze_sentiment(df, SentimentConfig("text", time_column="at", time_grain="day"), lexicon)
+    assert [r["period"] for r in found.time_summary.collect()] == ["2025-01-05", "2025-01-06", "2025-01-07"]
