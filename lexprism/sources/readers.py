@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import hashlib
+import re
+from collections.abc import Iterable, Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -33,9 +38,10 @@ MISSING_MARKS = (
     "nan",
     "null",
 )
-SPARE_CELLS = 4
 MOST_BROADCAST_SPLITS = 100_000
 MOST_LISTED_FILES = 1_000
+WHOLE_FILE_BYTES = 1 << 30
+PIECE_BYTES = 1 << 20
 BYTE_ORDER_MARK = "﻿"
 
 
@@ -103,10 +109,14 @@ def read_csv(
         header=True, multiLine=multiline, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
     names = reader.csv(path).columns
-    spare = [f"__spare_{i}" for i in range(SPARE_CELLS)]  # filled only by rows with more cells than the header
-    rows = reader.schema(S.StructType([S.StructField(name, S.StringType()) for name in [*names, *spare]])).csv(path)
+    whole = "_row"  # the text of a row that has not as many cells as the header
+    while whole.lower() in {name.lower() for name in names}:
+        whole += "_"
+    schema_of_rows = S.StructType([S.StructField(name, S.StringType()) for name in [*names, whole]])
+    rows = reader.option("columnNameOfCorruptRecord", whole).schema(schema_of_rows).csv(path)
+    outside = F.regexp_replace(whole, r'(^|,)"(?:[^"]++|"")*+"', "$1")  # without quoted cells
+    too_long = F.col(whole).isNotNull() & (F.regexp_count(outside, F.lit(",")) >= len(names))
     message = F.concat(F.lit("A CSV row has more cells than the header: "), F.coalesce(F.col(_quoted(names[0])), F.lit("")))
-    too_long = F.coalesce(*spare).isNotNull()
     rows = rows.where(F.when(too_long, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
     def cell(name: str):
@@ -207,10 +217,33 @@ def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """``source_filename, source_sha256`` per file (each file at most 2 GB)."""
+    """``source_filename, source_sha256`` per file that is not empty.
+
+    Files up to ``WHOLE_FILE_BYTES`` come through Spark's reader; a larger one
+    is read in the task in pieces of a megabyte, so its size bounds nothing. For
+    that its store must be one that Arrow can open.
+    """
     files = spark.read.format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("source_filename"), F.sha2("content", 256).alias("source_sha256"))
+    name = F.element_at(F.split("path", "/"), -1).alias("source_filename")
+    short = files.where(F.col("length") <= WHOLE_FILE_BYTES).select(name, F.sha2("content", 256).alias("source_sha256"))
+    long = files.where(F.col("length") > WHOLE_FILE_BYTES).select("path")
+    if long.isEmpty():
+        return short
+    each = long.repartition("path").mapInArrow(_streamed_digests, "path string, source_sha256 string")
+    return short.unionByName(each.select(name, "source_sha256"))
+
+
+def _streamed_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = []
+        for uri in batch.column(0).to_pylist():
+            store, place = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", quote(uri, safe="/:@")))
+            digest = hashlib.sha256()
+            with store.open_input_stream(place) as stream:
+                while piece := stream.read(PIECE_BYTES):
+                    digest.update(piece)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], ["path", "source_sha256"])
 
 
 def read_with_source(spark: SparkSession, path: str, **options) -> tuple[DataFrame, dict]:

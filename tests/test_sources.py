@@ -155,3 +155,28 @@ def test_table_with_its_source(spark, tmp_path):
     df, source = R.read_with_source(spark, str(tmp_path / "a.csv"))
     assert df.count() == 1
     assert source["files"] == [{"source_filename": "a.csv", "source_sha256": hashlib.sha256(b"a,b\n1,x\n").hexdigest()}]
+
+
+def test_csv_rows_of_other_lengths(spark, tmp_path):
+    """A surplus cell in whatever place is refused, also where quoted cells hold commas; a short row is filled."""
+    good = tmp_path / "good.csv"
+    good.write_text('__spare_0,_row\n1,"a,b"\n2\n"3,,,",\n')
+    read = R.read_csv(spark, str(good), schema="__spare_0 string, _row string")
+    assert sorted(map(tuple, read.collect()), key=str) == [("1", "a,b"), ("2", None), ("3,,,", None)]
+    assert read.select("_row").count() == 3 and read.count() == 3
+    for row in ("3,4,,,,,lost", "3,4,", '"3,x",4,"y"', '3,4,"a\n,b"'):
+        bad = tmp_path / "bad.csv"
+        bad.write_text(f"a,b\n1,2\n{row}\n")
+        with pytest.raises(Exception, match="more cells"):
+            R.read_csv(spark, str(bad), schema="a string, b string").collect()
+
+
+def test_long_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    from lexprism.sources import readers
+
+    monkeypatch.setattr(readers, "WHOLE_FILE_BYTES", 1000)
+    contents = {"short one.txt": b"abc", "long one.bin": bytes(range(256)) * 20_000}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    found = {tuple(r) for r in readers.file_fingerprints(spark, str(tmp_path)).collect()}
+    assert found == {(name, hashlib.sha256(content).hexdigest()) for name, content in contents.items()}
