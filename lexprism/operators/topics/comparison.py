@@ -15,7 +15,7 @@ from ..vocabulary import Vocabulary
 from .factorise import Fit, document_weights, factorise
 from .sampling import membership, sample_limits
 from .stability import align, stability_by_count, topic_stability
-from .start import full_spectrum, sample_spectra, starting_topics
+from .start import Spectrum, full_spectrum, sample_spectra, starting_topics
 from .tables import component_entries, top_term_diversity
 
 ERROR_SCHEMA = "k int, relative_reconstruction_error double"
@@ -29,6 +29,18 @@ class TopicModel:
     rows: DataFrame
     documents: int
     planned: int
+    full: Spectrum
+    samples: list[Spectrum]
+
+    @property
+    def unsettled_starts(self) -> int:
+        """Starts whose leading singular values were still moving when the passes ran out."""
+        return sum(not spectrum.steady for spectrum in [self.full, *self.samples])
+
+    @property
+    def start_steps(self) -> int:
+        """Passes of the slowest start."""
+        return max(spectrum.steps for spectrum in [self.full, *self.samples])
 
     @property
     def counts(self) -> list[int]:
@@ -132,7 +144,7 @@ def fit_topics(
         for (k, i), position, start, spectrum in zip(planned, positions, starts, spectra)
     ]
     done = {(fit.topics, fit.iteration): fit for fit in factorise(rows, fits)}
-    return TopicModel(done, rows, documents, config.planned_topics)
+    return TopicModel(done, rows, documents, config.planned_topics, full, samples)
 
 
 def fit_one(matrix: DataFrame, vocabulary: Vocabulary, config: TextConfig, documents: int) -> TopicModel:
@@ -145,7 +157,7 @@ def fit_one(matrix: DataFrame, vocabulary: Vocabulary, config: TextConfig, docum
     full = full_spectrum(rows, terms, config.planned_topics, config.seed)
     start = starting_topics(rows, [full], [config.planned_topics], [-1])[0]
     fit = factorise(rows, [Fit(config.planned_topics, 0, -1, start, full.square_sum)])[0]
-    return TopicModel({(config.planned_topics, 0): fit}, rows, documents, config.planned_topics)
+    return TopicModel({(config.planned_topics, 0): fit}, rows, documents, config.planned_topics, full, [])
 
 
 def topic_count_comparison(model: TopicModel, vocabulary: Vocabulary, spark: SparkSession) -> DataFrame:
