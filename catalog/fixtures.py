@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from lexprism import SentimentConfig, TextConfig
 from lexprism.operators.sentiment import ScoreRules
 
@@ -23,6 +25,14 @@ RULES = ScoreRules(
     negating=("not", "with", "et", "den"),
     contrast="as",
 )
+# Frequent word pairs of the fixture texts, with a value of their own or shifting what follows.
+PHRASED = replace(
+    RULES,
+    phrases=(("of the", 3.0), ("la que", -2.5), ("the la", 1.25), ("de la que", 0.5), ("der und", -1.75), ("th of", 2.25)),
+    phrase_boosts=(("the of", 0.25), ("de que", -0.5), ("of the and", 0.75)),
+)
+# Letters of the fixture texts stand in for emoji.
+EMOJI = {"ñ": "la no", "ü": "the", "É": "quiet"}
 HUMAN = SentimentConfig(
     "text", time_column="o_orderdate", time_grain="quarter", dimensions=("lang", "toxic"),
     human_label_column="quality", positive_label="1", negative_label="0",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from lexprism.functions.stats import NORMAL_QUANTILE, T_QUANTILES
 from lexprism.functions.text import english_stopwords, stopword_list
 
-from .fixtures import EMBEDDING_TOPICS, LEXICON, PAIR, RULES, SAMPLES, TEXT, WORDS_ONLY
+from .fixtures import EMBEDDING_TOPICS, EMOJI, LEXICON, PAIR, PHRASED, RULES, SAMPLES, TEXT, WORDS_ONLY
 
 ORACLES: dict[str, str] = {}
 
@@ -57,6 +57,9 @@ WITH h AS (SELECT sha256(concat_ws(chr(31), coalesce(CAST(doc_id AS VARCHAR), '\
                                    coalesce(lang, '\N'), coalesce(source, '\N'))) AS h FROM documents)
 SELECT count(*) AS rows, CAST(sum(CAST(('0x' || substr(h, 1, 15)) AS BIGINT)) AS VARCHAR) AS digest FROM h
 """
+ORACLES["written_file_fingerprints"] = """
+SELECT sha256(string_agg(CAST(doc_id AS VARCHAR) || chr(10), '' ORDER BY doc_id)) AS source_sha256 FROM documents GROUP BY source
+"""
 ORACLES["formula_neutralisation"] = r"""
 SELECT doc_id,
        CASE WHEN regexp_matches(text, '^\s*[=+\-@]') THEN '''' || text ELSE text END AS text,
@@ -292,9 +295,9 @@ FROM s
 
 ORACLES["comparison_labels"] = """
 WITH l AS (SELECT 'role' AS "column", trim(coalesce(role, '')) AS label FROM conversations
-           UNION ALL SELECT 'source', trim(coalesce(source, '')) FROM documents)
-SELECT "column", count(DISTINCT label) AS levels, count(DISTINCT label) > 6 AS refused
-FROM l WHERE label <> '' GROUP BY "column"
+           UNION ALL SELECT 'source', trim(coalesce(source, '')) FROM documents),
+s AS (SELECT "column", label, count(*) AS n FROM l WHERE label <> '' GROUP BY ALL)
+SELECT "column", count(*) AS levels, count(*) > 6 OR (count(*) > 1 AND min(n) < 20) AS refused FROM s GROUP BY "column"
 """
 ORACLES["group_support"] = f"""
 SELECT trim(lang) AS level, count(*) AS documents, count(*) >= 20 AS supported
@@ -349,6 +352,47 @@ SELECT CAST(k AS INTEGER) AS topics, language,
        round(sqrt((SELECT sum(n) FROM n) - (SELECT sum(n) FROM n WHERE r <= k)) / sqrt((SELECT sum(n) FROM n)), 6) AS relative_reconstruction_error
 FROM n, (VALUES (2), (3)) AS c(k) WHERE r <= k
 """
+_k = TEXT.planned_topics
+_repeated = " UNION ALL ".join(
+    f"SELECT {k} AS k, {i} AS iteration, doc_id, lang, md5(doc_id || ':{k}:{i}:{TEXT.seed}') AS h FROM documents WHERE lang IS NOT NULL"
+    for k in (2, 3) for i in (1, 2, 3)
+)
+LANGUAGES = f"""
+n AS (SELECT lang AS language, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, lang) AS r FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+whole AS (SELECT sum(n) AS docs, count(*) AS languages FROM n),
+drawn AS ({_repeated}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY k, iteration ORDER BY h) AS place, count(*) OVER (PARTITION BY k, iteration) AS docs FROM drawn),
+sample AS (SELECT k, iteration, lang, row_number() OVER (PARTITION BY k, iteration ORDER BY count(*) DESC, lang) AS r
+           FROM placed WHERE place <= least(docs, greatest(8 * k, CAST(ceil(0.8 * docs) AS BIGINT))) GROUP BY k, iteration, lang),
+fits AS (SELECT c.k, i.iteration, language FROM n, (VALUES (2), (3)) AS c(k), (VALUES (1), (2), (3)) AS i(iteration) WHERE r <= c.k),
+aligned AS (SELECT CAST(f.k AS INTEGER) AS k, CAST(f.iteration AS INTEGER) AS iteration, language,
+                   CASE WHEN s.lang IS NULL THEN 0.0 ELSE CAST(1.0 AS DOUBLE) END AS similarity
+            FROM fits f LEFT JOIN sample s ON s.k = f.k AND s.iteration = f.iteration AND s.lang = language AND s.r <= f.k),
+per AS (SELECT k, language, avg(similarity) AS stability FROM aligned GROUP BY k, language),
+compared AS (
+  SELECT k AS topics, k = {_k} AS selected_plan,
+         round(sqrt((SELECT sum(n) FROM n WHERE r > k)) / sqrt((SELECT docs FROM whole)), 6) AS relative_reconstruction_error,
+         round(avg(stability), 6) AS mean_topic_stability, round(min(stability), 6) AS minimum_topic_stability,
+         round(CAST(1.0 AS DOUBLE) / k, 6) AS top_term_diversity
+  FROM per GROUP BY k)"""
+ORACLES["language_topic_start"] = f"""
+WITH {LANGUAGES}
+SELECT CAST(r AS INTEGER) AS topic, round(sqrt(n), 3) AS singular_value, round(sqrt(sqrt(n)), 3) AS start_peak FROM n WHERE r <= {_k}
+"""
+ORACLES["language_topic_alignment"] = f"WITH {LANGUAGES} SELECT * FROM aligned"
+ORACLES["language_topic_comparison"] = f"WITH {LANGUAGES} SELECT * FROM compared"
+ORACLES["language_diagnostics"] = f"""
+WITH {LANGUAGES},
+g AS (SELECT string_agg(language, ',' ORDER BY language) AS levels FROM n)
+SELECT (SELECT count(*) FROM documents) AS source_rows, CAST(docs AS BIGINT) AS nonblank_documents, CAST(docs AS BIGINT) AS topic_model_documents,
+       CAST(1.0 AS DOUBLE) AS lexical_coverage, languages AS vocabulary_size, round(1.0 - CAST(1.0 AS DOUBLE) / languages, 6) AS matrix_sparsity,
+       CAST({_k} AS INTEGER) AS planned_topics, true AS nmf_converged, 0::BIGINT AS nmf_fits_at_iteration_cap, 0::BIGINT AS nmf_unfinished_rows,
+       0::BIGINT AS nmf_unsettled_starts, 'one-vs-rest per variant' AS contrast_design, levels,
+       round((SELECT min(n) FROM n WHERE r <= {_k}) / CAST(docs AS DOUBLE), 6) AS minimum_topic_prevalence,
+       round((SELECT coalesce(sum(n), 0) FROM n WHERE r > {_k}) / CAST(docs AS DOUBLE), 6) AS ambiguous_document_rate,
+       relative_reconstruction_error, mean_topic_stability, minimum_topic_stability, top_term_diversity
+FROM whole, g, compared WHERE selected_plan
+"""
 ORACLES["top_term_diversity"] = f"""
 WITH {_entries},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS r FROM entries)
@@ -404,6 +448,14 @@ WITH {_shares},
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY s DESC, vec_id) AS INTEGER) AS r FROM share)
 SELECT topic, r AS rank, vec_id, round(s, 6) AS topic_weight FROM ranked WHERE r <= 3
 """
+ORACLES["embedding_representatives"] = f"""
+WITH {_shares},
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY s DESC, vec_id) AS INTEGER) AS r FROM share),
+masked AS (SELECT doc_id, {mask(norm())} AS m FROM documents)
+SELECT 'Topic ' || topic AS topic, r AS rank, round(s, 6) AS topic_weight,
+       CASE WHEN length(m) > 360 THEN rtrim(substr(m, 1, 357)) || '...' ELSE m END AS context_snippet_masked
+FROM ranked JOIN masked ON doc_id = vec_id WHERE r <= 3
+"""
 ORACLES["variant_topic_prevalence"] = f"""
 WITH {_shares}
 SELECT CAST(label AS VARCHAR) AS variant, count(DISTINCT vec_id) AS documents,
@@ -436,7 +488,6 @@ UNION ALL SELECT unnest(['variant_contrast', 'variant_prevalence']) FROM l WHERE
 """
 _selected = ORACLES["vocabulary_selection"].strip()
 _contrasted = ORACLES["variant_contrast"].strip()
-_k = TEXT.planned_topics
 ORACLES["evidence_csv_bundle"] = f"""
 WITH l AS (SELECT count(DISTINCT trim(lang)) AS n FROM documents WHERE trim(lang) <> '')
 SELECT 'vocabulary' AS "table", count(*) AS rows FROM ({_selected}) v
@@ -447,6 +498,8 @@ UNION ALL SELECT * FROM (VALUES ('length_distribution', 7), ('group_lexical_cont
   ('topic_prevalence', {_k})) AS f(t, r)
 """
 
+ORACLES["evidence_tables"] = ORACLES["evidence_csv_bundle"]
+
 # --- sentiment and validation ---------------------------------------------
 
 _punctuation = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -470,9 +523,12 @@ _negated = lambda back: f"CASE WHEN neg{back} THEN {RULES.negation} ELSE 1.0 END
 _lags = ", ".join(
     f"lag({col}, {back}) OVER o AS {col}{back}" for back in (1, 2, 3) for col in ("w", "v", "b", "neg", "caps")
 )
-SENTIMENT = f"""
+
+def sentiment(phrased: str = "x3", text: str = norm()) -> str:
+    """CTEs up to ``score``; ``phrased`` is the value after the phrases around a word, ``text`` the normalised text."""
+    return f"""
 lexicon AS (SELECT * FROM (VALUES {_lexicon}) AS x(word, valence)),
-dn AS (SELECT doc_id, {norm()} AS n FROM documents),
+dn AS (SELECT doc_id, {text} AS n FROM documents),
 sp AS (SELECT doc_id, n, string_split(n, ' ') AS parts FROM dn WHERE n <> ''),
 un AS (SELECT doc_id, unnest(parts) AS token, generate_subscripts(parts, 1) AS pos FROM sp),
 st AS (SELECT doc_id, pos, CASE WHEN length(trim(token, '{_punctuation}')) <= 2 THEN token
@@ -484,7 +540,7 @@ fa AS (SELECT doc_id, pos, lower(c) AS w, upper(c) = c AND lower(c) <> c AS caps
 va AS (SELECT fa.*, valence AS v, count(*) FILTER (WHERE caps) OVER (PARTITION BY doc_id) AS loud,
               count(*) OVER (PARTITION BY doc_id) AS size
        FROM fa LEFT JOIN lexicon ON word = w),
-lg AS (SELECT *, loud > 0 AND loud < size AS mixed, lead(v) OVER o AS next_v, {_lags}
+lg AS (SELECT *, loud > 0 AND loud < size AS mixed, lead(v) OVER o AS next_v, lead(w) OVER o AS f1, lead(w, 2) OVER o AS f2, {_lags}
        FROM va WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 s0 AS (SELECT *, CASE WHEN w1 = 'no' OR w2 = 'no' OR (w3 = 'no' AND w1 IN ('or', 'nor')) THEN v * {RULES.negation}
                       WHEN w = 'no' AND next_v IS NOT NULL THEN 0.0 ELSE v END AS x0 FROM lg),
@@ -493,7 +549,7 @@ sc AS (SELECT *, x0 + CASE WHEN caps AND mixed THEN {RULES.capitals} * CASE WHEN
 s1 AS (SELECT *, {_step('xc', 1, _negated(1))} AS x1 FROM sc),
 s2 AS (SELECT *, {_step('x1', 2, _negated(2))} AS x2 FROM s1),
 s3 AS (SELECT *, {_step('x2', 3, f"CASE WHEN w1 IN ('so', 'this') THEN {RULES.never_so} WHEN neg3 THEN {RULES.negation} ELSE 1.0 END")} AS x3 FROM s2),
-sv AS (SELECT doc_id, pos, CASE WHEN v IS NOT NULL AND b = 0 THEN x3 ELSE 0.0 END AS x,
+sv AS (SELECT doc_id, pos, CASE WHEN v IS NOT NULL AND b = 0 THEN {phrased} ELSE 0.0 END AS x,
               min(CASE WHEN w = '{RULES.contrast}' THEN pos END) OVER (PARTITION BY doc_id) AS turn FROM s3),
 sb AS (SELECT doc_id, x * CASE WHEN pos < turn THEN {RULES.before_but} WHEN pos > turn THEN {RULES.after_but}
                                ELSE 1.0 END AS x FROM sv),
@@ -509,6 +565,9 @@ pu AS (SELECT doc_id, flat, raw + sign(raw) * e AS raw, CASE WHEN up > down THEN
 score AS (SELECT doc_id, round(down / (up + down + flat), 3) AS negative, round(flat / (up + down + flat), 3) AS neutral,
                  round(up / (up + down + flat), 3) AS positive, round(raw / sqrt(raw * raw + 15.0), 4) AS compound FROM pu)"""
 
+
+SENTIMENT = sentiment()
+
 _three = "CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative' ELSE 'neutral' END"
 ORACLES["document_sentiment"] = f"WITH {SENTIMENT} SELECT *, {_three} AS lexicon_label FROM score"
 ORACLES["sentiment_labels"] = f"""
@@ -622,6 +681,24 @@ FROM one
 _repeats = f"""
 c AS (SELECT count(*) AS n FROM documents WHERE {norm()} <> '' GROUP BY lower({norm()})),
 r AS (SELECT coalesce(sum(n) FILTER (WHERE n > 1), 0) / CAST(sum(n) AS DOUBLE) AS rate FROM c)"""
+
+
+def _valued(table, words: str) -> str:
+    return f"CASE {words} " + " ".join(f"WHEN '{phrase}' THEN CAST({value} AS DOUBLE)" for phrase, value in table) + " END"
+
+
+_before = ["concat_ws(' ', w1, w)", "concat_ws(' ', w2, w1, w)", "concat_ws(' ', w2, w1)", "concat_ws(' ', w3, w2, w1)", "concat_ws(' ', w3, w2)"]
+_ahead = ["CASE WHEN f2 IS NOT NULL THEN concat_ws(' ', w, f1, f2) END", "CASE WHEN f1 IS NOT NULL THEN concat_ws(' ', w, f1) END"]
+_own = ", ".join(_valued(PHRASED.phrases, words) for words in [*_ahead, *_before])
+_shift = " + ".join(f"coalesce({_valued(PHRASED.phrase_boosts, words)}, 0.0)" for words in (_before[3], _before[4], _before[2]))
+_phrased = f"(CASE WHEN pos > 3 AND v3 IS NULL THEN coalesce({_own}, x3) + {_shift} ELSE x3 END)"
+_scores = "SELECT doc_id, negative, neutral, positive, compound FROM score"
+ORACLES["sentiment_phrases"] = f"WITH {sentiment(_phrased)} {_scores}"
+_spelled = norm()
+for _letter, _said in EMOJI.items():  # before a word of its own, or with a blank put before
+    _spelled = f"replace(regexp_replace({_spelled}, '(^| ){_letter}', '\\1{_said}', 'g'), '{_letter}', ' {_said}')"
+ORACLES["sentiment_emoji"] = f"WITH {sentiment(text=f'trim({_spelled})')} {_scores}"
+ORACLES["mixed_time_forms"] = "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00' AS read FROM orders"
 ORACLES["sentiment_duplicates"] = f"WITH {_repeats} SELECT round(rate, 6) AS duplicate_rate FROM r"
 ORACLES["sentiment_warning_codes"] = f"""
 WITH {_repeats},
@@ -639,7 +716,7 @@ UNION ALL SELECT 'warning', code FROM ({ORACLES['sentiment_warning_codes'].strip
 
 # --- decision -------------------------------------------------------------
 
-ORACLES["evidence_profile"] = """
+ORACLES["profile_statuses"] = """
 WITH facts AS (
   SELECT source, count(*) * 2 AS docs, quantile_cont(n_chars / 300.0, 0.5) AS med,
          count(*) - count(DISTINCT text) AS copies,
@@ -653,3 +730,78 @@ SELECT source, CASE WHEN copies > 3 THEN 'DATA CHECK REQUIRED'
   WHEN unclear > 0.35 THEN 'REVIEW WITH HUMAN CODING' ELSE 'READY FOR CODEBOOK TEST' END AS status
 FROM facts
 """
+
+
+def corpora(kind: str, group: str | None) -> str:
+    """``facts``: the audit summary of every corpus named by the column ``kind``."""
+    label = f"CASE WHEN coalesce(trim({group}), '') = '' THEN '(missing)' ELSE trim({group}) END" if group else "NULL"
+    levels = (
+        "SELECT corpus, count(*) FILTER (WHERE g <> '(missing)') AS group_levels, coalesce(min(docs) FILTER (WHERE g <> '(missing)'), 0) AS minimum_group_documents, "
+        "CAST(coalesce(sum(n) FILTER (WHERE g = '(missing)'), 0) AS BIGINT) AS missing_group_rows "
+        "FROM (SELECT corpus, g, count(*) AS n, count(*) FILTER (WHERE filled) AS docs FROM p WHERE g IS NOT NULL GROUP BY ALL) GROUP BY corpus"
+    )
+    return f"""
+d AS (SELECT doc_id, CASE WHEN coalesce(trim({kind}), '') = '' THEN '(missing)' ELSE trim({kind}) END AS corpus, {label} AS g, {norm()} AS n FROM documents),
+p AS (SELECT doc_id, corpus, g, n, n <> '' AS filled, CAST(len({words('n')}) AS BIGINT) AS w, length(n) AS c, regexp_matches(n, '{EMAIL}') AS email,
+             regexp_matches(n, '{PHONE}') AS phone, regexp_matches(n, '{URL}') AS url FROM d),
+base AS (SELECT corpus, count(*) AS source_rows, count(*) FILTER (WHERE filled) AS analyzable_documents, count(*) FILTER (WHERE NOT filled) AS blank_documents,
+                round(avg(CASE WHEN filled THEN 0.0 ELSE 1.0 END), 6) AS blank_rate, round(quantile_cont(w, 0.5) FILTER (WHERE filled), 6) AS median_words,
+                round(quantile_cont(w, 0.1) FILTER (WHERE filled), 6) AS p10_words, round(quantile_cont(w, 0.9) FILTER (WHERE filled), 6) AS p90_words,
+                count(*) FILTER (WHERE filled AND w < 5) AS documents_below_five_words, count(*) FILTER (WHERE filled AND email) AS documents_with_possible_email,
+                count(*) FILTER (WHERE filled AND phone) AS documents_with_possible_phone, count(*) FILTER (WHERE filled AND url) AS documents_with_url
+         FROM p GROUP BY corpus),
+copies AS (SELECT corpus, CAST(sum(k) AS BIGINT) AS exact_duplicate_rows, count(*) AS exact_duplicate_sets
+           FROM (SELECT corpus, count(*) AS k FROM p WHERE filled GROUP BY corpus, n HAVING count(*) > 1) GROUP BY corpus),
+units AS (SELECT corpus, CAST(coalesce(sum(k) FILTER (WHERE doc_id IS NOT NULL AND k > 1), 0) AS BIGINT) AS duplicate_unit_rows,
+                 CAST(coalesce(sum(k) FILTER (WHERE doc_id IS NULL), 0) AS BIGINT) AS missing_unit_rows
+          FROM (SELECT corpus, doc_id, count(*) AS k FROM p GROUP BY corpus, doc_id) GROUP BY corpus),
+lev AS ({levels}),
+facts AS (SELECT b.*, coalesce(exact_duplicate_rows, 0) AS exact_duplicate_rows, coalesce(exact_duplicate_sets, 0) AS exact_duplicate_sets,
+                 duplicate_unit_rows, missing_unit_rows, coalesce(group_levels, 0) AS group_levels,
+                 coalesce(minimum_group_documents, 0) AS minimum_group_documents, coalesce(missing_group_rows, 0) AS missing_group_rows
+          FROM base b JOIN units u USING (corpus) LEFT JOIN copies USING (corpus) LEFT JOIN lev USING (corpus))"""
+
+
+ORACLES["corpus_summaries"] = f"WITH {corpora('source', 'lang')} SELECT * FROM facts"
+ORACLES["corpus_length_distributions"] = f"WITH {corpora('source', 'lang')}\n" + "\nUNION ALL\n".join(
+    f"SELECT corpus, '{name}' AS point, round_even(quantile_cont(w, {at}), 1) AS words, round_even(quantile_cont(c, {at}), 1) AS characters "
+    "FROM p WHERE filled GROUP BY corpus"
+    for name, at in _points
+)
+ORACLES["corpus_group_distributions"] = f"""
+WITH {corpora('source', 'lang')},
+l AS (SELECT corpus, g, count(*) AS n, count(*) FILTER (WHERE filled) AS docs FROM p GROUP BY corpus, g)
+SELECT corpus, g AS "group", n AS source_rows, docs AS nonblank_documents,
+       round(docs / CAST(greatest(sum(docs) OVER (PARTITION BY corpus), 1) AS DOUBLE), 6) AS share_nonblank FROM l
+"""
+_rules = f"""CASE WHEN duplicate_unit_rows > 0 THEN 'DATA CHECK REQUIRED'
+  WHEN analyzable_documents < {TEXT.minimum_documents} OR vocabulary_size < 50 OR coalesce(median_words, 0) < 5 OR lexical_coverage < 0.80 THEN 'CORPUS LIMITED'
+  WHEN minimum_topic_stability < 0.65 OR minimum_topic_prevalence < 0.05 THEN 'PATTERNS UNSTABLE'
+  WHEN ambiguous_document_rate > 0.35 THEN 'REVIEW WITH HUMAN CODING' ELSE 'READY FOR CODEBOOK TEST' END AS status"""
+ORACLES["language_decision"] = f"""
+SELECT {_rules}
+FROM (SELECT d.*, a.* EXCLUDE (source_rows) FROM ({ORACLES["audit_summary"]}) a, ({ORACLES["language_diagnostics"]}) d)
+"""
+
+
+def evidence(kind: str, group: str | None) -> str:
+    label = f"CASE WHEN coalesce(trim(documents.{kind}), '') = '' THEN '(missing)' ELSE trim(documents.{kind}) END"
+    return f"""
+WITH {corpora(kind, group)},
+voc AS (WITH {vocabulary_cte(TEXT)}
+  SELECT {label} AS corpus, count(DISTINCT term) AS vocabulary_size, count(DISTINCT t.doc_id) AS docs, count(DISTINCT x.doc_id) AS used
+  FROM tok t JOIN documents USING (doc_id) LEFT JOIN dtc x ON x.doc_id = t.doc_id GROUP BY 1),
+lexical AS (SELECT corpus, vocabulary_size, round(used / CAST(docs AS DOUBLE), 6) AS lexical_coverage FROM voc),
+topical AS (WITH {LANGUAGES}
+  SELECT {label} AS corpus,
+         round(least({", ".join(f"avg(CASE WHEN r = {i} THEN 1.0 ELSE 0.0 END)" for i in range(1, _k + 1))}), 6) AS minimum_topic_prevalence,
+         round(avg(CASE WHEN r > {_k} THEN 1.0 ELSE 0.0 END), 6) AS ambiguous_document_rate
+  FROM documents JOIN n ON n.language = lang GROUP BY 1),
+stable AS (WITH {LANGUAGES} SELECT minimum_topic_stability FROM compared WHERE selected_plan)
+SELECT corpus, {_rules}, vocabulary_size, lexical_coverage, minimum_topic_prevalence, ambiguous_document_rate
+FROM facts LEFT JOIN lexical USING (corpus) LEFT JOIN topical USING (corpus), stable
+"""
+
+
+ORACLES["evidence_profile"] = evidence("source", "lang")
+ORACLES["language_evidence"] = evidence("lang", None)

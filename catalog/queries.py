@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexprism import SentimentConfig, analyze_sentiment, audit_corpus, build_evidence_pack
+from lexprism.config import DataProblem
 from lexprism.functions import text as T
+from lexprism.functions.times import day_first, mixed_time
 from lexprism.operators import audit as A
 from lexprism.operators import contrast as C
+from lexprism.operators import corpora as K
 from lexprism.operators import decision as D
 from lexprism.operators import sentiment as M
 from lexprism.operators import validation as H
@@ -22,13 +25,13 @@ from lexprism.operators.topics import sampling as S
 from lexprism.operators.topics import stability as B
 from lexprism.operators.topics import tables as P
 from lexprism.plans.sentiment import scored_documents, sentiment_warnings
-from lexprism.plans.evidence import write_csv_evidence, write_json_evidence
-from lexprism.plans.text_analysis import analyze_text
+from lexprism.plans.evidence import read_json_evidence, write_csv_evidence, write_json_evidence
+from lexprism.plans.text_analysis import analyze_text, diagnostics_row, prevalence_table
 from lexprism.session import evened, materialise, pin_utc, scratch_path
 from lexprism.sources import readers as R
 from lexprism.sources import writers as W
 
-from .fixtures import EMBEDDING_TOPICS, HUMAN, HUMAN_THREE, LEXICON, PAIR, RULES, SAMPLES, TEXT, WORDS_ONLY
+from .fixtures import EMBEDDING_TOPICS, EMOJI, HUMAN, HUMAN_THREE, LEXICON, PAIR, PHRASED, RULES, SAMPLES, TEXT, WORDS_ONLY
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -190,6 +193,16 @@ def file_fingerprints(spark, sf_dir):
     return R.file_fingerprints(spark, f"{sf_dir}/documents.parquet")
 
 
+@registered
+def written_file_fingerprints(spark, sf_dir):
+    """Hashes of written text files that hold the ids of one source each."""
+    ids = table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("value"), "doc_id")
+    path = scratch_path(spark, "ids")
+    dealt = ids.repartition("source").sortWithinPartitions("source", "doc_id")
+    dealt.select("source", "value").write.partitionBy("source").text(path)
+    return R.file_fingerprints(spark, path).select("source_sha256")
+
+
 @registered
 def content_fingerprint(spark, sf_dir):
     return R.content_fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
@@ -246,6 +259,16 @@ def evidence_manifest(spark, sf_dir):
     )
 
 
+@registered
+def evidence_tables(spark, sf_dir):
+    """Rows of each table as the manifest of a finished pack lists them, after the check of all digests."""
+    path = scratch_path(spark, "evidence")
+    write_json_evidence(_pack(spark, sf_dir), path)
+    manifest, _ = read_json_evidence(spark, path)
+    listed = [(name, told["rows"]) for name, told in manifest["tables"].items()]
+    return spark.createDataFrame(listed, "table string, rows long")
+
+
 @registered
 def evidence_csv_bundle(spark, sf_dir):
     """Rows per table of a written bundle."""
@@ -462,14 +485,16 @@ def analysis_guardrails(spark, sf_dir):
 
 @registered
 def comparison_labels(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select(T.group_label("role").alias("label"))
-    sources = table(spark, sf_dir, "documents").select(T.group_label("source").alias("label"))
-    listed = turns.select(F.lit("role").alias("column"), "label").unionByName(
-        sources.select(F.lit("source").alias("column"), "label")
-    )
-    levels = listed.filter("label <> ''").groupBy("column", "label").agg(F.lit(1).alias("one"))
-    per_column = levels.groupBy("column").agg(F.count("*").alias("levels"))
-    return per_column.withColumn("refused", F.col("levels") > 6)
+    """Levels of two comparison columns, and whether the operator refuses to compare them."""
+    found = []
+    for name, kind in (("conversations", "role"), ("documents", "source")):
+        labels = table(spark, sf_dir, name).select(T.group_label(kind).alias("label"))
+        try:
+            refused = C.choose_comparison(labels, replace(TEXT, group=kind)) is None
+        except DataProblem:
+            refused = True
+        found.append(C.level_support(labels).agg(F.lit(kind).alias("column"), F.count("*").alias("levels"), F.lit(refused).alias("refused")))
+    return found[0].unionByName(found[1])
 
 
 @registered
@@ -532,9 +557,9 @@ def topic_factorisation(spark, sf_dir):
     return spark.createDataFrame(fitted, "k int, iteration int, passes int, converged boolean, error double")
 
 
-@registered
-def language_topic_fit(spark, sf_dir):
-    """Topics of rows that name a document's language: the best k topics are the k largest languages."""
+@kept
+def language_model(spark, sf_dir):
+    """Topics of rows that name a document's language, whose best k topics are the k largest languages, and its vocabulary."""
     documents = table(spark, sf_dir, "documents").where("lang is not null").select(F.col("doc_id").alias("doc_key"), F.col("lang").alias("label"))
     languages = documents.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()
     names, counts = [r["label"] for r in languages], tuple(r["n"] for r in languages)
@@ -543,13 +568,95 @@ def language_topic_fit(spark, sf_dir):
     rows = documents.select(
         "doc_key", "label", F.array(place).alias("indices"), F.array(F.lit(1).cast("long")).alias("counts"), F.array(F.lit(1.0)).alias("weights")
     )
-    found = N.fit_topics(materialise(rows, "languages"), known, replace(TEXT, stability_iterations=1), sum(counts), [2, 3])
-    errors = N.topic_count_comparison(found, known, spark).select("topics", "relative_reconstruction_error")
+    rows = materialise(rows, "languages")
+    return N.fit_topics(rows, known, replace(TEXT, stability_iterations=3), sum(counts), [2, 3]), known, rows
+
+
+@kept
+def language_shares(spark, sf_dir):
+    return materialise(P.document_shares(language_model(spark, sf_dir)[0].document_weights()), "shares")
+
+
+@kept
+def language_comparison(spark, sf_dir):
+    found, known, _ = language_model(spark, sf_dir)
+    return materialise(N.topic_count_comparison(found, known, spark), "comparison")
+
+
+def _leading_language(spark, sf_dir) -> DataFrame:
+    """``k, topic, language``: what each fitted topic is about."""
+    found, known, _ = language_model(spark, sf_dir)
     leading = F.array_position("weights", F.array_max("weights")).cast("int")
-    named = found.components(spark).select(F.col("k").alias("topics"), F.get(F.array(*[F.lit(n) for n in names]), leading - 1).alias("language"))
-    joined = materialise(rounded(named.join(errors, "topics"), 6, "relative_reconstruction_error"), "language-fit")
-    found.release()
-    return joined
+    return found.components(spark).select("k", "topic", F.get(F.array(*[F.lit(n) for n in known.terms]), leading - 1).alias("language"))
+
+
+@registered
+def language_topic_fit(spark, sf_dir):
+    errors = language_comparison(spark, sf_dir).select("topics", "relative_reconstruction_error")
+    named = _leading_language(spark, sf_dir).select(F.col("k").alias("topics"), "language")
+    return rounded(named.join(errors, "topics"), 6, "relative_reconstruction_error")
+
+
+@registered
+def language_topic_start(spark, sf_dir):
+    """Singular values of the same rows, and the sums of the topics a fit starts from."""
+    from lexprism.operators.topics.start import starting_topics
+
+    found, known, _ = language_model(spark, sf_dir)
+    k = TEXT.planned_topics
+    start = starting_topics(found.rows, [found.full], [k], [-1])[0]
+    listed = [(j + 1, float(found.full.values[j]), float(start[j].max())) for j in range(k)]
+    return rounded(spark.createDataFrame(listed, "topic int, singular_value double, start_peak double"), 3, "singular_value", "start_peak")
+
+
+@registered
+def language_topic_alignment(spark, sf_dir):
+    """How well each sample's topics match those of all rows."""
+    aligned = language_model(spark, sf_dir)[0].aligned(spark).join(_leading_language(spark, sf_dir), ["k", "topic"])
+    return rounded(aligned.select("k", "iteration", "language", "similarity"), 6, "similarity")
+
+
+@registered
+def language_topic_comparison(spark, sf_dir):
+    return rounded(
+        language_comparison(spark, sf_dir), 6, "relative_reconstruction_error", "mean_topic_stability", "minimum_topic_stability",
+        "top_term_diversity",
+    )
+
+
+@kept
+def language_diagnostics_row(spark, sf_dir):
+    found, known, rows = language_model(spark, sf_dir)
+    weights = language_shares(spark, sf_dir)
+    return materialise(diagnostics_row(
+        TEXT,
+        {"source_rows": table(spark, sf_dir, "documents").count(), "nonblank_documents": found.documents},
+        V.matrix_statistics(rows, len(known.terms)),
+        C.choose_comparison(rows, TEXT),
+        language_comparison(spark, sf_dir),
+        prevalence_table(weights, found, known),
+        P.document_topics(weights, TEXT.planned_topics, TEXT.assignment_threshold),
+        found,
+    ), "diagnostics")
+
+
+@registered
+def language_diagnostics(spark, sf_dir):
+    """The whole diagnostics row of fits whose outcome is known."""
+    found = language_diagnostics_row(spark, sf_dir).select(
+        "source_rows", "nonblank_documents", "topic_model_documents", "lexical_coverage", "vocabulary_size", "matrix_sparsity",
+        "planned_topics", "nmf_converged", "nmf_fits_at_iteration_cap", "nmf_unfinished_rows", "nmf_unsettled_starts", "contrast_design",
+        F.array_join("comparison_variant_levels", ",").alias("levels"), "minimum_topic_prevalence", "ambiguous_document_rate",
+        "relative_reconstruction_error", "mean_topic_stability", "minimum_topic_stability", "top_term_diversity",
+    )
+    shares = [name for name, kind in found.dtypes if kind == "double"]
+    return rounded(found, 6, *shares)
+
+
+@registered
+def language_decision(spark, sf_dir):
+    """The next step for the corpus, from its audit and the fits whose outcome is known."""
+    return D.decide(corpus_audit(spark, sf_dir).summary, language_diagnostics_row(spark, sf_dir)).select("status")
 
 
 @registered
@@ -656,6 +763,13 @@ def representatives(spark, sf_dir):
     return rounded(P.representatives(shares(spark, sf_dir), keyed), 6, "topic_weight")
 
 
+@registered
+def embedding_representatives(spark, sf_dir):
+    """Masked snippets of the documents whose vectors lead a topic."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_key"), F.col("text").alias("raw_text"))
+    return rounded(P.representatives(_embedding_shares(spark, sf_dir), texts), 6, "topic_weight")
+
+
 @registered
 def variant_topic_prevalence(spark, sf_dir):
     vectors = _embedding_shares(spark, sf_dir)
@@ -800,6 +914,35 @@ def validation_summary(spark, sf_dir):
     return rounded(found.drop("meaning"), 6, "balanced_accuracy", "macro_f1")
 
 
+@registered
+def sentiment_phrases(spark, sf_dir):
+    """Scores with phrases that go over words and phrases that shift them."""
+    documents = table(spark, sf_dir, "documents")
+    found = scored_documents(documents, SentimentConfig("text"), lexicon(spark), "doc_id", PHRASED)
+    return found.select(F.col("doc_key").alias("doc_id"), "negative", "neutral", "positive", "compound")
+
+
+@registered
+def sentiment_emoji(spark, sf_dir):
+    """Scores of texts some of whose characters are spelled out as words."""
+    emoji = spark.createDataFrame(list(EMOJI.items()), "emoji string, description string")
+    documents = table(spark, sf_dir, "documents")
+    found = scored_documents(documents, SentimentConfig("text"), lexicon(spark), "doc_id", RULES, emoji)
+    return found.select(F.col("doc_key").alias("doc_id"), "negative", "neutral", "positive", "compound")
+
+
+@registered
+def mixed_time_forms(spark, sf_dir):
+    """Order dates written in six forms, one column, and read back."""
+    day = F.col("o_orderdate")
+    forms = ["yyyy-MM-dd", "M/d/yyyy", "dd.MM.yyyy", "d MMM yyyy", "MMMM d, yyyy", "yyyyMMdd"]
+    place = F.pmod(F.col("o_orderkey"), F.lit(len(forms)))
+    written = F.coalesce(*[F.when(place == i, F.date_format(day, form)) for i, form in enumerate(forms)])
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", written.alias("written"))
+    read = mixed_time("written", day_first(orders, "written"))
+    return orders.select("o_orderkey", F.date_format(read, "yyyy-MM-dd HH:mm:ss").alias("read"))
+
+
 @registered
 def sentiment_duplicates(spark, sf_dir):
     folded = table(spark, sf_dir, "documents").select(T.folded("text").alias("folded_text"))
@@ -826,8 +969,8 @@ def sentiment_analysis(spark, sf_dir):
 
 
 @registered
-def evidence_profile(spark, sf_dir):
-    """One status per source, each source profiled as a corpus of its own."""
+def profile_statuses(spark, sf_dir):
+    """The rules of the profile on made-up facts that reach every status."""
     n = F.col("n_chars")
     facts = table(spark, sf_dir, "documents").groupBy("source").agg(
         F.lit(2).alias("planned_topics"),
@@ -845,6 +988,54 @@ def evidence_profile(spark, sf_dir):
     return D.evidence_profile(judged, "source").select("source", "status")
 
 
+@kept
+def source_profile(spark, sf_dir):
+    return materialise(K.corpus_profile(table(spark, sf_dir, "documents"), "text", "source", "doc_id", "lang"), "corpora")
+
+
+@registered
+def corpus_summaries(spark, sf_dir):
+    """The audit's summary of every source, from one read of the texts."""
+    found = K.corpus_summaries(source_profile(spark, sf_dir), True)
+    return rounded(found, 6, "blank_rate", "median_words", "p10_words", "p90_words")
+
+
+@registered
+def corpus_length_distributions(spark, sf_dir):
+    return K.length_distributions(source_profile(spark, sf_dir))
+
+
+@registered
+def corpus_group_distributions(spark, sf_dir):
+    return rounded(K.group_distributions(source_profile(spark, sf_dir)), 6, "share_nonblank")
+
+
+def _evidence(spark, sf_dir, kind: str, profile: DataFrame) -> DataFrame:
+    """Facts and status of every corpus: its audit, its part of the vocabulary, its shares of the language topics."""
+    config = replace(TEXT, group=kind)
+    lexical = K.lexical_facts(V.term_matrix(tokens(spark, sf_dir, config), vocabulary(spark, sf_dir, TEXT)))
+    labels = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_key"), T.group_label(kind).alias("label"))
+    shares = language_shares(spark, sf_dir).drop("label").join(labels, "doc_key")
+    topical = K.topic_facts(shares, TEXT.planned_topics, TEXT.assignment_threshold)
+    stable = language_comparison(spark, sf_dir).where("selected_plan").select("minimum_topic_stability").scalar()
+    judged = K.corpus_evidence(K.corpus_summaries(profile, True), lexical, topical, TEXT.planned_topics, stable).select("corpus", "status")
+    named = judged.join(lexical, "corpus", "left").join(topical, "corpus", "left")
+    return rounded(named, 6, "lexical_coverage", "minimum_topic_prevalence", "ambiguous_document_rate")
+
+
+@registered
+def evidence_profile(spark, sf_dir):
+    """One status per source, each source profiled as a corpus of its own."""
+    return _evidence(spark, sf_dir, "source", source_profile(spark, sf_dir))
+
+
+@registered
+def language_evidence(spark, sf_dir):
+    """One status per language."""
+    found = materialise(K.corpus_profile(table(spark, sf_dir, "documents"), "text", "lang", "doc_id"), "corpora")
+    return _evidence(spark, sf_dir, "lang", found)
+
+
 @registered
 def corpus_decision(spark, sf_dir):
     return D.decide(corpus_audit(spark, sf_dir).summary, analysis(spark, sf_dir).diagnostics)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DataProblem, require_columns
@@ -33,8 +33,10 @@ class CorpusAudit:
     warnings: DataFrame
 
 
-def document_profile(df: DataFrame, text_column: str, unit: str | None = None, group: str | None = None) -> DataFrame:
-    """One narrow row per source row; the text itself is left behind here."""
+def document_profile(
+    df: DataFrame, text_column: str, unit: str | None = None, group: str | None = None, corpus: Column | None = None
+) -> DataFrame:
+    """One narrow row per source row; the text itself is left behind here. With ``corpus`` each row names its corpus."""
     require_columns(df, text=text_column, unit=unit, group=group)
     label = F.lit(None).cast("string")
     if group:
@@ -45,11 +47,13 @@ def document_profile(df: DataFrame, text_column: str, unit: str | None = None, g
             F.col(text_column).alias("raw_text"),
             (F.col(unit) if unit else F.lit(None).cast("string")).alias("unit"),
             label.alias("group"),
+            *([] if corpus is None else [corpus.alias("corpus")]),
         )
     )
     normalised = source.withColumn("norm_text", T.normalized("raw_text"))
     filled = F.col("norm_text") != ""
     return normalised.select(
+        *([] if corpus is None else ["corpus"]),
         "unit",
         "group",
         filled.alias("filled"),
@@ -62,9 +66,9 @@ def document_profile(df: DataFrame, text_column: str, unit: str | None = None, g
     )
 
 
-def availability(profile: DataFrame) -> DataFrame:
-    """One row: rows, blanks, short documents and contact flags."""
-    return profile.agg(
+def availability_counts() -> list[Column]:
+    """Rows, blanks, short documents and contact flags of a profile or of one corpus of it."""
+    return [
         F.count("*").alias("source_rows"),
         F.count_if("filled").alias("analyzable_documents"),
         F.count_if(~F.col("filled")).alias("blank_documents"),
@@ -73,7 +77,12 @@ def availability(profile: DataFrame) -> DataFrame:
         F.count_if("email").alias("documents_with_possible_email"),
         F.count_if("phone").alias("documents_with_possible_phone"),
         F.count_if("url").alias("documents_with_url"),
-    )
+    ]
+
+
+def availability(profile: DataFrame) -> DataFrame:
+    """One row: the counts over the whole profile."""
+    return profile.agg(*availability_counts())
 
 
 def length_quantiles(profile: DataFrame) -> DataFrame:
