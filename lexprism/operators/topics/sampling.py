@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ...config import SAMPLE_SHARE
+from ...session import materialise
 
 DIGITS_PER_STEP = 2  # hexadecimal: 256 buckets per sample and step
 RANKED_AT_ONCE = 10_000
+WINDOW = 8.0  # standard deviations
 
 Fits = Sequence[tuple[int, int]]
 
@@ -46,12 +48,57 @@ def _inside(keys: DataFrame, open_buckets: dict[tuple[int, int], str], seed: int
     return keys.select("doc_key", F.inline(drawn)).filter(F.startswith("drawn", "prefix"))
 
 
+def _window(taken: int, documents: int) -> tuple[str, str]:
+    """Hexadecimal bounds between which the last draw of a sample lies, but for odds of one in 10^15.
+
+    Draws are spread evenly, so the draw of rank ``taken`` lies within a few
+    standard deviations of ``taken / documents``.
+    """
+    share = taken / documents
+    reach = WINDOW * math.sqrt(share * (1 - share) / documents) + WINDOW**2 / documents
+
+    def digits(part: float) -> str:
+        return "g" if part >= 1 else format(max(0, int(part * 2**64)), "016x")
+
+    return digits(share - reach), digits(share + reach)
+
+
 def sample_limits(keys: DataFrame, fits: Fits, documents: int, seed: int) -> dict[tuple[int, int], str]:
     """The largest draw inside each sample of the fixed size.
 
-    Draws are counted by their leading digits, then only inside the bucket that
-    holds the boundary, until that bucket is small enough to be ranked. A step
-    shuffles at most 256 rows per sample and task.
+    One read: draws below a narrow window around the expected place are only
+    counted, those inside it (some square roots of the documents) are written
+    and ranked. A sample whose last draw lies elsewhere is found digit by digit.
+    """
+    if not fits or not documents:
+        return {}
+    bounds = [_window(sample_size(k, documents), documents) for k, _ in fits]
+    drawn = F.array(*[draw(F.col("doc_key"), F.lit(k), F.lit(i), seed) for k, i in fits]).alias("draws")
+    low, high = (F.array(*[F.lit(bound[side]) for bound in bounds]) for side in (0, 1))
+    seen = Observation()
+    below = [F.count_if(F.get("draws", F.lit(at)) < bound[0]).alias(f"f{at}") for at, bound in enumerate(bounds)]
+    read = keys.select(drawn).observe(seen, *below)
+    near = F.filter(
+        F.transform("draws", lambda d, at: F.struct(at.alias("fit"), d.alias("drawn"))),
+        lambda s: (s["drawn"] >= F.get(low, s["fit"])) & (s["drawn"] < F.get(high, s["fit"])),
+    )
+    inside = materialise(read.select(F.inline(near)), "draws")
+    counted = seen.get
+    rank = {at: sample_size(k, documents) - counted[f"f{at}"] for at, (k, _) in enumerate(fits)}
+    takes = F.array(*[F.lit(rank[at]).cast("long") for at in range(len(fits))])
+    order = Window.partitionBy("fit").orderBy("drawn")
+    ranked = inside.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == F.get(takes, F.col("fit")))
+    found = {tuple(fits[row["fit"]]): row["drawn"] for row in ranked.collect()}
+    missed = [tuple(fit) for fit in fits if tuple(fit) not in found]
+    return found | (_limits_by_digits(keys, missed, documents, seed) if missed else {})
+
+
+def _limits_by_digits(keys: DataFrame, fits: Fits, documents: int, seed: int) -> dict[tuple[int, int], str]:
+    """The same limits, counting draws by their leading digits.
+
+    Each step looks only inside the bucket that holds the boundary, until that
+    bucket is small enough to be ranked. A step shuffles at most 256 rows per
+    sample and task.
     """
     open_buckets = {fit: "" for fit in fits}
     still = {(k, i): sample_size(k, documents) for k, i in fits}

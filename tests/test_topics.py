@@ -51,9 +51,11 @@ def test_sample_size_rule():
     assert [S.sample_size(k, n) for k, n in ((2, 1000), (8, 80), (3, 10), (5, 101))] == [800, 64, 10, 81]
 
 
-@pytest.mark.parametrize("at_once", [10_000, 3])
-def test_samples_are_exact_seeded_and_independent_of_partitions(spark, monkeypatch, at_once):
+@pytest.mark.parametrize("at_once, window", [(10_000, 8.0), (10_000, 0.0), (3, 0.0), (3, 0.2)])
+def test_samples_are_exact_seeded_and_independent_of_partitions(spark, monkeypatch, at_once, window):
+    """Also where the window misses the boundary and the digits have to find it."""
     monkeypatch.setattr(S, "RANKED_AT_ONCE", at_once)
+    monkeypatch.setattr(S, "WINDOW", window)
     fits = [(2, 1), (2, 2), (3, 1)]
     keys = spark.range(1000).select(F.col("id").alias("doc_key"))
     first = {tuple(r) for r in S.sampled_documents(keys.repartition(1), fits, 5).collect()}
@@ -69,6 +71,15 @@ def test_samples_are_exact_seeded_and_independent_of_partitions(spark, monkeypat
 # --- start ---
 
 
+def test_sample_limits_are_the_ranked_draws(spark):
+    for count in (1, 2, 9, 20_000):
+        fits, keys = [(2, 1), (3, 2)], spark.range(count).select(F.col("id").alias("doc_key"))
+        for k, i in fits:
+            drawn = sorted(__import__("hashlib").md5(f"{key}:{k}:{i}:5".encode()).hexdigest() for key in range(count))
+            assert S.sample_limits(keys, fits, count, 5)[k, i] == drawn[S.sample_size(k, count) - 1]
+    assert S.sample_limits(keys, [], 0, 5) == {}
+
+
 def test_spectrum_equals_dense_svd(spark, planted_matrix):
     vocabulary, matrix = planted_matrix
     x = dense(vocabulary, matrix)
