@@ -148,13 +148,22 @@ def test_deduplicated_keeps_one_row_of_each_component(spark):
     df = spark.createDataFrame(copies(), "doc_id long, text string, print int, component_id string")
     kept = deduplicated(df)
     assert kept.columns == df.columns
-    component = near_duplicates(df).where("doc_id is not null and component_id is not null")
-    expected = sorted(r[0] for r in component.select("component_id").distinct().collect())
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == expected
-    assert kept.where("doc_id is null").count() == 2
+    numbered = df.select(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", F.monotonically_increasing_id().alias("n")).alias("n"), "text")
+    rows = near_duplicates(numbered, "n").select("component_id").distinct().collect()
+    assert kept.count() == len(rows)
+    key = lambda v: (v is None, v)
+    assert sorted((r.doc_id for r in kept.collect()), key=key) == sorted((r.component_id.doc_id for r in rows), key=key)
     assert deduplicated(df.limit(0)).count() == 0
 
 
+def test_deduplicated_rows_of_one_id_and_without(spark):
+    words = [" ".join(f"{name}{k}" for k in range(60)) for name in ("a", "b", "c")]
+    rows = [(1, words[0]), (1, words[1]), (2, words[1]), (None, words[2]), (None, words[2]), (None, None), (7, ""), (3, words[0])]
+    kept = deduplicated(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, key int"))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, words[0]), (1, words[1]), (None, words[2]), (7, "")], key=str)
+    assert kept.columns == ["doc_id", "text", "key"]
+
+
 # --- sketches -------------------------------------------------------------
 
 
