@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexprism.llm.mixing import mix_sources, with_tokens
-from lexprism.llm.near_copies import without_near_copies
 from lexprism.llm.packing import pack
 from lexprism.llm.quality import keep_quality, train_quality
 from lexprism.llm.secrets import redact_secrets
+from lexprism.llm.simhash import deduplicated
 from lexprism.session import materialise
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,8 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, resemblance 0.8 or more), that of the smallest id."""
-    return without_near_copies(docs)
+    """One document of each group whose SimHash fingerprints (four-word shingles) link at four bits or fewer."""
+    return deduplicated(docs, words_each=4, reach=4)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
