@@ -28,7 +28,7 @@ from .token_counts import NONE, PairTable
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in a model file
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 LONG_WORD = 1 << 12
 BESIDE_BITS = 22
 codecs.register_error("each-byte", lambda e: ("�" * (e.end - e.start), e.end))
@@ -58,14 +58,16 @@ class PieceModel:
         ):
             raise ValueError(f"{path} is no plain BPE model with byte fallback")
         self.size = len(names)
-        self.surfaces = [
-            "" if kind == CONTROL else trained.unk_surface if kind == UNKNOWN else name.replace(SPACE, " ")
+        self.byte_ids = [names.index(f"<0x{b:02X}>") for b in range(256)]
+        self.is_byte = np.array([kind == BYTE for kind in kinds])
+        self.marked = np.array([kind == NORMAL and name.startswith(SPACE) for name, kind in zip(names, kinds)])
+        said = [
+            b"" if kind == CONTROL else bytes([int(name[1:-1], 16)]) if kind == BYTE
+            else (trained.unk_surface if kind == UNKNOWN else name.replace(SPACE, " ")).encode("utf-8")
             for name, kind in zip(names, kinds)
         ]
-        self.marked = [kind == NORMAL and name.startswith(SPACE) for name, kind in zip(names, kinds)]
-        self.byte_of = {i: int(name[1:-1], 16) for i, (name, kind) in enumerate(zip(names, kinds)) if kind == BYTE}
-        self.byte_ids = [i for i, _ in sorted(self.byte_of.items(), key=lambda item: item[1])]
-
+        self.surface, self.surface_start, self.surface_size = _stretches(said)
+        self.digits, self.digits_start, self.digits_size = _stretches([b"%d," % i for i in range(self.size)])
         self.ids = {name: i for i, (name, kind) in enumerate(zip(names, kinds)) if kind == NORMAL}
         joined = [name for name in usual if len(name) > 1]
         inside = sorted(set("".join(joined)))
@@ -93,12 +95,21 @@ class PieceModel:
         steps = np.append(0, np.cumsum(worth[1:] != worth[:-1])).astype(np.int32)
         self.level = np.append(steps, NONE)  # pairs of equal score are of one level
 
+    def spelled(self, character: str) -> list[int]:
+        return [self.byte_ids[b] for b in character.encode("utf-8")]
+
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in ``merged`` and level of each pair; the last place and NONE for what is no pair."""
         found = np.minimum(self.table.rank(left, right), len(self.level) - 1)
         return found, self.level[found]
 
 
+def _stretches(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte strings end to end, where each begins and how long it is."""
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
+
+
 def _hashed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     mixed = (left.astype(np.uint64) << np.uint64(21) | right) * np.uint64(0x9E3779B97F4A7C15)
     return (mixed >> np.uint64(64 - BESIDE_BITS)).astype(np.int64)
@@ -153,7 +164,10 @@ def merged_words(words: Sequence[str], model: PieceModel) -> tuple[np.ndarray, n
         stay[places + 1] = False
         moved = np.cumsum(stay) - 1
         symbol, owner, pair, level, at = symbol[stay], owner[stay], pair[stay], level[stay], moved[places]
-        touched = np.unique(np.concatenate([at, at[at > 0] - 1]))
+        mark = np.zeros(len(symbol), bool)
+        mark[at] = True
+        mark[at[at > 0] - 1] = True
+        touched = np.flatnonzero(mark)
         pair[touched], level[touched] = len(model.level) - 1, NONE
         touched = touched[touched < len(symbol) - 1]
         touched = touched[owner[touched] == owner[touched + 1]]
@@ -189,58 +203,98 @@ def _undisturbed(places, fresh, symbol, owner, level, model) -> tuple[np.ndarray
     return places[kept], fresh[kept]
 
 
-def _learn(words: list[str], model: PieceModel, known: dict[str, tuple[int, ...]]) -> None:
-    plain = [w for w in words if len(w) > 1 or w in model.ids or w in model.extra]
-    known.update((w, tuple(model.byte_ids[b] for b in w.encode("utf-8"))) for w in set(words).difference(plain))
-    symbols, counts = merged_words(plain, model)
-    flat = symbols.tolist()
-    ends = np.cumsum(counts).tolist()
-    for word, end, count in zip(plain, ends, counts.tolist()):
-        ids = flat[end - count : end]
-        if model.extra and max(ids) >= model.size:  # a character that is no piece of its own
-            spelled = ([i] if i < model.size else [model.byte_ids[b] for b in model.extra[i - model.size].encode("utf-8")] for i in ids)
-            ids = list(itertools.chain.from_iterable(spelled))
-        known[word] = tuple(ids)
+class Known:
+    """The pieces of words met before: each word's place in one flat array of ids."""
 
+    def __init__(self):
+        self.slot: dict[str, int] = {}
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-def encode(texts: list[str], path: str) -> list[list[int]]:
-    """Piece ids of each text, without begin or end ids; an empty text has none."""
-    model, known, out = piece_model(path), _KNOWN.made(path, dict), []
+    def learn(self, words: list[str], model: PieceModel) -> None:
+        known = [w for w in words if len(w) > 1 or w in model.ids or w in model.extra]
+        spelled = [w for w in set(words).difference(known)]  # a character that is in no piece
+        symbols, sizes = merged_words(known, model)
+        if model.extra and symbols.max(initial=0) >= model.size:  # a character that is no piece of its own
+            owner = np.repeat(np.arange(len(known)), sizes)
+            alone = [[i] if i < model.size else model.spelled(model.extra[i - model.size]) for i in symbols.tolist()]
+            sizes = np.bincount(owner, list(map(len, alone)), minlength=len(known)).astype(np.int64)
+            symbols = np.array(list(itertools.chain.from_iterable(alone)), np.int32)
+        bytes_of = [model.spelled(w) for w in spelled]
+        sizes = np.concatenate([sizes, np.fromiter(map(len, bytes_of), np.int64, len(bytes_of))])
+        self.slot.update(zip(itertools.chain(known, spelled), itertools.count(len(self.size))))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.ids = np.concatenate([self.ids, symbols, np.array(list(itertools.chain.from_iterable(bytes_of)), np.int32)])
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of an array end to end."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def encoded(texts: list[str], path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Piece ids of all texts end to end and how many of each, in groups of about a million characters."""
+    model = piece_model(path)
     for _, group in chunks(texts):
+        known = _KNOWN.made(path, Known)
+        if len(known.slot) > KEPT_WORDS:
+            known = _KNOWN[path] = Known()
         cut = [model.cut(SPACE + text.replace(" ", SPACE)) if text else [] for text in group]
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        fresh = set(itertools.chain.from_iterable(cut)).difference(known)
-        long = [word for word in fresh if len(word) > LONG_WORD]  # they take many rounds: not beside thousands of others
-        _learn(list(fresh.difference(long)), model, known)
-        for word in long:
-            _learn([word], model, known)
-        out += [list(itertools.chain.from_iterable(map(known.__getitem__, words))) for words in cut]
-        for word in long:
-            del known[word]
+        words = list(itertools.chain.from_iterable(cut))
+        fresh = list(set(words).difference(known.slot))
+        known.learn([w for w in fresh if len(w) <= LONG_WORD], model)
+        for word in fresh:  # a very long one takes many rounds: not beside thousands of others
+            if len(word) > LONG_WORD:
+                known.learn([word], model)
+        slots = np.fromiter(map(known.slot.__getitem__, words), np.int64, len(words))
+        sizes = known.size[slots]
+        owner = np.repeat(np.arange(len(group)), np.fromiter(map(len, cut), np.int64, len(cut)))
+        counts = np.bincount(owner, sizes, minlength=len(group)).astype(np.int64)
+        yield _gathered(known.ids, known.start[slots], sizes), counts
+
+
+def encode(texts: list[str], path: str) -> list[list[int]]:
+    """Piece ids of each text, without begin or end ids; an empty text has none."""
+    out: list[list[int]] = []
+    for ids, counts in encoded(texts, path):
+        ends = np.cumsum(counts).tolist()
+        out += [ids[end - count : end].tolist() for end, count in zip(ends, counts.tolist())]
     return out
 
 
-def decode(ids: Sequence[int], path: str) -> str:
-    """The text of piece ids: the blank before the first word goes, runs of byte pieces become characters.
+def decode_bytes(ids: np.ndarray, counts: np.ndarray, model: PieceModel) -> list[bytes]:
+    """The texts, in UTF-8, of ids end to end: the blank before the first word goes, byte pieces become characters.
 
     Control pieces are silent, the unknown piece has the surface the model
     gives it, and each byte that is part of no character becomes U+FFFD.
     """
-    model = piece_model(path)
-    first = next((k for k, i in enumerate(ids) if model.surfaces[i]), len(ids))
-    lead = first < len(ids) and model.marked[ids[first]]
-    if model.byte_of.keys().isdisjoint(ids):
-        text = "".join(map(model.surfaces.__getitem__, ids))
-    else:
-        parts = []
-        for is_byte, run in itertools.groupby(ids, model.byte_of.__contains__):
-            if is_byte:
-                parts.append(bytes(map(model.byte_of.__getitem__, run)).decode("utf-8", "each-byte"))
-            else:
-                parts.extend(map(model.surfaces.__getitem__, run))
-        text = "".join(parts)
-    return text[1:] if lead else text
+    flat = _gathered(model.surface, model.surface_start[ids], model.surface_size[ids]).tobytes()
+    width = np.append(0, np.cumsum(model.surface_size[ids]))
+    ends = np.cumsum(counts)
+    begin, end = width[ends - counts].tolist(), width[ends].tolist()
+    bytes_before = np.append(0, np.cumsum(model.is_byte[ids]))
+    loose = (bytes_before[ends] > bytes_before[ends - counts]).tolist()
+    heard = np.flatnonzero(model.surface_size[ids] > 0)  # pieces that say something
+    first = np.searchsorted(heard, ends - counts)
+    there = first < np.searchsorted(heard, ends)
+    lead = np.zeros(len(counts), bool)
+    lead[there] = model.marked[ids[heard[first[there]]]]
+    silent = width[np.flatnonzero(model.surface_size[ids] == 0)]  # a silent piece parts the bytes beside it
+    out = []
+    for a, b, broken, mark in zip(begin, end, loose, lead.tolist()):
+        text = flat[a + mark : b]
+        if broken:
+            cuts = [a + mark, *silent[np.searchsorted(silent, a + mark, "right") : np.searchsorted(silent, b)].tolist(), b]
+            text = "".join(flat[x:y].decode("utf-8", "each-byte") for x, y in zip(cuts, cuts[1:])).encode("utf-8")
+        out.append(text)
+    return out
+
+
+def decode(ids: Sequence[int], path: str) -> str:
+    """The text of one list of ids, see ``decode_bytes``."""
+    listed = np.asarray(ids, np.int64).reshape(-1)
+    return decode_bytes(listed, np.array([len(listed)]), piece_model(path))[0].decode("utf-8")
 
 
 def piece_ids(df: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -251,7 +305,11 @@ def piece_ids(df: DataFrame, model_path: str, text: str = "text", keep: tuple[st
     repeated rows repeat; an empty table gives an empty result. Other columns
     are not read; a kept column named ids is refused.
     """
-    return _mapped(df, model_path, text, keep, "ids array<int>", lambda ids: [pa.array(ids, pa.list_(pa.int32()))])
+
+    def listed(texts: list[str]) -> list[pa.Array]:
+        return [pa.array(encode(texts, model_path), pa.list_(pa.int32()))]
+
+    return _mapped(df, text, keep, "ids array<int>", listed)
 
 
 def piece_digests(df: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -261,15 +319,21 @@ def piece_digests(df: DataFrame, model_path: str, text: str = "text", keep: tupl
     text decoded from those ids. The rest is as for ``piece_ids``.
     """
 
-    def digests(ids: list[list[int]]) -> list[pa.Array]:
-        listed = [hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i in ids]
-        decoded = [hashlib.sha256(decode(i, model_path).encode("utf-8")).hexdigest() for i in ids]
-        return [pa.array(list(map(len, ids)), pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())]
+    def digests(texts: list[str]) -> list[pa.Array]:
+        model, tokens, listed, decoded = piece_model(model_path), [], [], []
+        for ids, counts in encoded(texts, model_path):
+            tokens += counts.tolist()
+            told = _gathered(model.digits, model.digits_start[ids], model.digits_size[ids]).tobytes()
+            width, ends = np.append(0, np.cumsum(model.digits_size[ids])), np.cumsum(counts)
+            places = zip(width[ends - counts].tolist(), width[ends].tolist())
+            listed += [hashlib.sha256(told[a : max(a, b - 1)]).hexdigest() for a, b in places]
+            decoded += [hashlib.sha256(t).hexdigest() for t in decode_bytes(ids, counts, model)]
+        return [pa.array(tokens, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())]
 
-    return _mapped(df, model_path, text, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
+    return _mapped(df, text, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
 
 
-def _mapped(df: DataFrame, model_path: str, text: str, keep: tuple[str, ...], added: str, finish) -> DataFrame:
+def _mapped(df: DataFrame, text: str, keep: tuple[str, ...], added: str, finish) -> DataFrame:
     kept = [F.col(f"`{name}`") for name in keep]
     names = [field.split()[0] for field in added.split(", ")]
     if set(map(str.lower, keep)) & set(names):
@@ -279,7 +343,7 @@ def _mapped(df: DataFrame, model_path: str, text: str, keep: tuple[str, ...], ad
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = finish(encode(batch.column(batch.num_columns - 1).to_pylist(), model_path))
+            found = finish(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], [*keep, *names])
 
     return chosen.mapInArrow(convert, f"{schema}, {added}" if schema else added)
