@@ -73,7 +73,8 @@ def sample_limits(keys: DataFrame, fits: Fits, documents: int, seed: int) -> dic
     if not fits or not documents:
         return {}
     bounds = [_window(sample_size(k, documents), documents) for k, _ in fits]
-    drawn = F.array(*[draw(F.col("doc_key"), F.lit(k), F.lit(i), seed) for k, i in fits]).alias("draws")
+    listed = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i")) for k, i in fits])
+    drawn = F.transform(listed, lambda s: draw(F.col("doc_key"), s["k"], s["i"], seed)).alias("draws")
     low, high = (F.array(*[F.lit(bound[side]) for bound in bounds]) for side in (0, 1))
     seen = Observation()
     below = [F.count_if(F.get("draws", F.lit(at)) < bound[0]).alias(f"f{at}") for at, bound in enumerate(bounds)]
