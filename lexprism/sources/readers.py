@@ -42,6 +42,7 @@ MOST_BROADCAST_SPLITS = 100_000
 MOST_LISTED_FILES = 1_000
 WHOLE_FILE_BYTES = 1 << 30
 PIECE_BYTES = 1 << 20
+HEAD_BYTES = 1 << 12
 BYTE_ORDER_MARK = "﻿"
 
 
@@ -133,13 +134,42 @@ def read_csv(
     return texts.select(*[F.col(_quoted(name)).cast(kind).alias(name) for name, kind in _narrowest(texts).items()])
 
 
+def _streams(uris: list[str]) -> Iterator[pa.NativeFile]:
+    """Open files one after the other, wherever Arrow can open them."""
+    for uri in uris:
+        store, place = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", quote(uri, safe="/:@")))
+        with store.open_input_stream(place) as stream:
+            yield stream
+
+
+def _first_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first character of each file that is no blank; none where its beginning does not tell or cannot be read."""
+    for batch in batches:
+        marks = []
+        for uri in batch.column(0).to_pylist():
+            try:
+                head = b"".join(stream.read(HEAD_BYTES) for stream in _streams([uri]))
+            except (OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError):  # a store only Spark reads
+                head = b""
+            marks.append(head.decode("utf-8", "ignore").lstrip(BYTE_ORDER_MARK).strip()[:1] or None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.string())], ["path", "mark"])
+
+
 def _shapes(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
-    """Files whose top level is an array, and those whose top level is an object. Looks at what precedes the first brace."""
-    heads = spark.read.option("lineSep", "{").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    first = heads.where("start = 0").withColumn("at", F.monotonically_increasing_id())
-    before = first.groupBy("file").agg(F.min_by("value", "at").alias("head")).collect()  # one row for each file
-    arrays = [r["file"] for r in before if r["head"].lstrip(BYTE_ORDER_MARK).strip().startswith("[")]
-    return arrays, [r["file"] for r in before if r["file"] not in set(arrays)]
+    """Files whose top level is an array, and those whose top level is an object; only their first bytes are read.
+
+    Where the first bytes cannot be had, what precedes a file's first brace is looked at through Spark's text reader.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
+    marks = {r["path"]: r["mark"] for r in files.mapInArrow(_first_marks, "path string, mark string").collect()}  # one row for each file
+    unknown = [file for file, mark in marks.items() if mark is None]
+    if unknown:
+        heads = spark.read.option("lineSep", "{").text(unknown).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+        first = heads.where("start = 0").withColumn("at", F.monotonically_increasing_id())
+        before = first.groupBy("file").agg(F.min_by("value", "at").alias("head")).collect()
+        marks = {file: mark for file, mark in marks.items() if mark is not None}
+        marks |= {r["file"]: r["head"].lstrip(BYTE_ORDER_MARK).strip()[:1] for r in before}
+    return [file for file, mark in marks.items() if mark == "["], [file for file, mark in marks.items() if mark != "["]
 
 
 def read_json(spark: SparkSession, path: str, schema: S.StructType | str | None = None, **limits) -> DataFrame:
@@ -236,12 +266,10 @@ def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
 def _streamed_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digests = []
-        for uri in batch.column(0).to_pylist():
-            store, place = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", quote(uri, safe="/:@")))
+        for stream in _streams(batch.column(0).to_pylist()):
             digest = hashlib.sha256()
-            with store.open_input_stream(place) as stream:
-                while piece := stream.read(PIECE_BYTES):
-                    digest.update(piece)
+            while piece := stream.read(PIECE_BYTES):
+                digest.update(piece)
             digests.append(digest.hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], ["path", "source_sha256"])
 

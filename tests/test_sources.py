@@ -138,7 +138,10 @@ def test_missing_marks_in_numbers_and_strict_rows(spark, tmp_path):
         R.read_csv(spark, str(tmp_path / "b.csv")).select("score").collect()
 
 
-def test_json_shape_is_decided_for_each_file(spark, tmp_path):
+@pytest.mark.parametrize("head", [4096, 2])
+def test_json_shape_is_decided_for_each_file(spark, tmp_path, monkeypatch, head):
+    """From the first bytes, or through Spark where these do not tell."""
+    monkeypatch.setattr(R, "HEAD_BYTES", head)
     folder = tmp_path / "rows"
     folder.mkdir()
     (folder / "1.json").write_text('[{"a": 1}, {"a": 2}]')
