@@ -1,10 +1,11 @@
 """SimHash fingerprints and near-duplicate components.
 
-Fingerprints are embedded as the number of set bits in each of four segments.
-Two fingerprints that differ in d bits lie at a Manhattan distance of at most d
-there, so all pairs within reach lie in grid cells whose distance is at most
-the reach. Blocks of fingerprints meet the blocks of such cells, and each pair
-of blocks is verified on the fingerprints themselves.
+Fingerprints are embedded as the number of set bits in each of 32 segments. Two
+fingerprints that differ in d bits lie at a Manhattan distance of at most d
+there. The axes are dealt to groups, more than the reach by a few: a distance
+within reach leaves so many groups without any, so a near pair shares the grid
+cell of some choice of groups. What shares a cell is verified on the
+fingerprints themselves.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -23,8 +24,8 @@ from .components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
-SEGMENTS, SEGMENT_BITS = 4, 16
-SIDE = SEGMENT_BITS + 1
+SEGMENTS, SEGMENT_BITS = 32, 2
+SPARE_GROUPS = 2
 BLOCK = 1024
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = np.arange(8) * 256
@@ -59,10 +60,27 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text: str = "text", w
     return chosen.mapInArrow(convert, f"`{id_column}` {chosen.schema[id_column].dataType.simpleString()}, print long")
 
 
-def _steps(reach: int) -> list[tuple[int, ...]]:
-    """Half the grid steps within reach, none included: each pair of cells is met from one side."""
-    around = itertools.product(range(-reach, reach + 1), repeat=SEGMENTS)
-    return [step for step in around if sum(map(abs, step)) <= reach and step >= (0,) * SEGMENTS]
+def cells(reach: int, spare: int = SPARE_GROUPS) -> list[tuple[int, ...]]:
+    """The axes of each cell: every choice of ``spare`` out of ``reach + spare`` groups of axes."""
+    groups = reach + spare
+    if groups > SEGMENTS:
+        raise ValueError(f"a reach above {SEGMENTS - spare} bits leaves no axes to compare")
+    dealt = [tuple(range(g, SEGMENTS, groups)) for g in range(groups)]
+    return [sum(chosen, ()) for chosen in itertools.combinations(dealt, spare)]
+
+
+def cell_keys(column: Column, reach: int, spare: int = SPARE_GROUPS) -> Column:
+    """A fingerprint's cell for each choice of groups: the number of the choice, and the counts on its axes by a 64-bit hash.
+
+    A count is that of the set bits of a segment: 0, 1 or 2. Two unequal cells
+    of one hash are only compared in vain.
+    """
+    low = F.lit(0x5555555555555555)
+    first, second = column.bitwiseAND(low), F.shiftrightunsigned(column, 1).bitwiseAND(low)
+    ones = first.bitwiseXOR(second).bitwiseOR(F.shiftleft(first.bitwiseAND(second), 1))  # counts of all segments, two bits each
+    masks = [sum(3 << SEGMENT_BITS * axis for axis in axes) for axes in cells(reach, spare)]
+    signed = [mask - 2**64 if mask >= 2**63 else mask for mask in masks]
+    return F.array(*[F.xxhash64(ones.bitwiseAND(F.lit(mask)), F.lit(number)) for number, mask in enumerate(signed)])
 
 
 def forest(a: np.ndarray, b: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,49 +105,16 @@ def forest(a: np.ndarray, b: np.ndarray, reach: int) -> tuple[np.ndarray, np.nda
     return names[own], names[label[own]]
 
 
-def near_links(prints: DataFrame, reach: int = 4) -> DataFrame:
-    """Links (a, b) between different fingerprints of ``prints`` (print long, each once).
-
-    Two fingerprints are connected by these links if and only if they are by
-    steps of at most ``reach`` differing bits; chains stand for the pairs within
-    one block pair. The cells with their counts, at most 17^4 rows, are
-    broadcast to cut large cells into blocks of about a thousand.
-    """
-    parts = [
-        F.bit_count(F.shiftrightunsigned("print", SEGMENT_BITS * k).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)))
-        for k in range(SEGMENTS)
-    ]
-    cell = sum((parts[k].cast("int") * SIDE ** (SEGMENTS - 1 - k) for k in range(1, SEGMENTS)), parts[0].cast("int") * SIDE ** (SEGMENTS - 1))
-    placed = prints.select("print", cell.alias("cell"))
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("pieces"))
-    piece = F.pmod(F.xxhash64("print", F.lit(7)), F.col("pieces"))
-    blocks = (
-        placed.join(F.broadcast(sizes), "cell").groupBy("cell", piece.alias("piece")).agg(F.collect_list("print").alias("prints"))
-    )
-    blocks = materialise(blocks, "blocks")
-
-    coordinates = [F.floor(F.col("cell") / SIDE ** (SEGMENTS - 1 - k)).cast("int") % SIDE for k in range(SEGMENTS)]
-    steps = F.array(*[F.struct(*[F.lit(x).alias(f"d{k}") for k, x in enumerate(step)]) for step in _steps(reach)])
-    probing = blocks.withColumns({f"c{k}": c for k, c in enumerate(coordinates)}).withColumn("step", F.explode(steps))
-    reached = [F.col(f"c{k}") + F.col(f"step.d{k}") for k in range(SEGMENTS)]
-    inside = reached[0].between(0, SEGMENT_BITS)
-    target = reached[0] * SIDE ** (SEGMENTS - 1)
-    for k in range(1, SEGMENTS):
-        inside &= reached[k].between(0, SEGMENT_BITS)
-        target += reached[k] * SIDE ** (SEGMENTS - 1 - k)
-    probing = probing.where(inside).select(
-        target.cast("int").alias("cell"), F.col("cell").alias("from_cell"), F.col("piece").alias("from_piece"),
-        F.col("prints").alias("probes"),
-    )
-    met = probing.join(blocks, "cell").where("from_cell <> cell or from_piece <= piece").select("probes", "prints")
+def _verified(met: DataFrame, reach: int) -> DataFrame:
+    """Links (a, b) that hold together what is near between ``probes`` and ``prints`` of each row."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[np.ndarray, np.ndarray]] = []
             probes, others = batch.column(0), batch.column(1)
-            flat_a = probes.values.to_numpy().view(np.uint64)
-            flat_b = others.values.to_numpy().view(np.uint64)
-            at_a, at_b = probes.offsets.to_pylist(), others.offsets.to_pylist()
+            flat_a = probes.flatten().to_numpy().view(np.uint64)
+            flat_b = others.flatten().to_numpy().view(np.uint64)
+            at_a, at_b = (np.append(0, np.cumsum(side.value_lengths().to_numpy())).tolist() for side in (probes, others))
             for k in range(batch.num_rows):
                 links = forest(flat_a[at_a[k] : at_a[k + 1]], flat_b[at_b[k] : at_b[k + 1]], reach)
                 if len(links[0]):
@@ -140,6 +125,61 @@ def near_links(prints: DataFrame, reach: int = 4) -> DataFrame:
     return met.mapInArrow(verify, "a long, b long")
 
 
+def _small_cells(placed: DataFrame, reach: int) -> DataFrame:
+    """Links within the cells of ``placed`` (cell, print), none of them large; rows are sorted by cell and looked at in runs."""
+
+    def links(cell: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        sizes = np.diff(np.append(begin, len(cell)))
+        two = begin[sizes == 2]  # most cells that hold more than one print hold two
+        two = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= reach]
+        found = [(prints[two].view(np.int64), prints[two + 1].view(np.int64))]
+        for at, size in zip(begin[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            part = prints[at : at + size]
+            found.append(forest(part, part, reach))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*found)], ["a", "b"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, prints = np.zeros(0, np.int64), np.zeros(0, np.uint64)  # the run that may go on in the next batch
+        for batch in batches:
+            cell = np.concatenate([cell, batch.column(0).to_numpy()])
+            prints = np.concatenate([prints, batch.column(1).to_numpy().view(np.uint64)])
+            last = np.searchsorted(cell, cell[-1])
+            if last:
+                yield links(cell[:last], prints[:last])
+                cell, prints = cell[last:], prints[last:]
+        if len(cell):
+            yield links(cell, prints)
+
+    dealt = placed.repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(verify, "a long, b long")
+
+
+def near_links(prints: DataFrame, reach: int = 4) -> DataFrame:
+    """Links (a, b) between different fingerprints of ``prints`` (print long, each once).
+
+    Two fingerprints are connected by these links if and only if they are by
+    steps of at most ``reach`` differing bits; chains stand for the pairs within
+    one cell. Cells of more than about a thousand fingerprints are cut into
+    blocks, each pair of which is a task row of its own.
+    """
+    keyed = prints.select("print", F.explode(cell_keys(F.col("print"), reach)).alias("cell"))
+    sizes = keyed.groupBy("cell").agg(F.count("*").alias("held")).where(F.col("held") > BLOCK)
+    large = materialise(sizes.select("cell", F.ceil(F.col("held") / BLOCK).cast("int").alias("pieces")), "large")
+    placed = keyed.join(large, "cell", "left")
+    links = _small_cells(placed.where("pieces is null").select("cell", "print"), reach)
+    if large.isEmpty():
+        return links
+    piece = F.pmod(F.xxhash64("print", F.lit(7)), F.col("pieces")).cast("int")
+    blocks = placed.where("pieces is not null").groupBy("cell", piece.alias("piece")).agg(
+        F.collect_list("print").alias("prints"), F.first("pieces").alias("pieces")
+    )
+    blocks = materialise(blocks, "blocks")
+    probing = blocks.select("cell", F.explode(F.sequence("piece", F.col("pieces") - 1)).alias("piece"), F.col("prints").alias("probes"))
+    met = probing.join(blocks.select("cell", "piece", "prints"), ["cell", "piece"])
+    return links.unionByName(_verified(met.select("probes", "prints"), reach))
+
+
 def near_duplicates(
     df: DataFrame, id_column: str = "doc_id", text: str = "text", words_each: int = 4, reach: int = 4
 ) -> DataFrame:
