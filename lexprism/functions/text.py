@@ -97,25 +97,36 @@ def has_email(norm: Column | str) -> Column:
     return F.contains(norm, F.lit("@")) & norm.rlike(EMAIL)
 
 
+def _ascii(norm: Column) -> Column:
+    return F.octet_length(norm) == F.char_length(norm)
+
+
+def _url_begun(norm: Column) -> Column:
+    return F.contains(norm, F.lit("://")) | F.contains(F.lower(norm), F.lit("www."))
+
+
 def has_phone(norm: Column | str) -> Column:
     """ASCII texts need no Unicode classes, which are slow to match."""
     norm = F.col(norm) if isinstance(norm, str) else norm
-    plain = F.octet_length(norm) == F.char_length(norm)
-    return F.when(plain, norm.rlike(PHONE.removeprefix("(?U)"))).otherwise(norm.rlike(PHONE))
+    return F.when(_ascii(norm), norm.rlike(PHONE.removeprefix("(?U)"))).otherwise(norm.rlike(PHONE))
 
 
 def has_url(norm: Column | str) -> Column:
     """Only texts with one of the two beginnings are searched."""
     norm = F.col(norm) if isinstance(norm, str) else norm
-    begun = F.contains(norm, F.lit("://")) | F.contains(F.lower(norm), F.lit("www."))
-    return begun & norm.rlike(URL)
+    return _url_begun(norm) & norm.rlike(URL)
 
 
 def masked(norm: Column | str) -> Column:
-    """Normalised text with emails, then URLs, then phone numbers replaced."""
-    out = F.regexp_replace(norm, EMAIL, "[EMAIL]")
-    out = F.regexp_replace(out, URL, "[URL]")
-    return F.regexp_replace(out, PHONE, "[PHONE]")
+    """Normalised text with emails, then URLs, then phone numbers replaced.
+
+    Each is looked for only in texts that can hold it; a mask put in makes none of the later ones possible.
+    """
+    norm = F.col(norm) if isinstance(norm, str) else norm
+    out = F.when(F.contains(norm, F.lit("@")), F.regexp_replace(norm, EMAIL, "[EMAIL]")).otherwise(norm)
+    out = F.when(_url_begun(norm), F.regexp_replace(out, URL, "[URL]")).otherwise(out)
+    plain = F.regexp_replace(out, PHONE.removeprefix("(?U)"), "[PHONE]")
+    return F.when(_ascii(norm), plain).otherwise(F.regexp_replace(out, PHONE, "[PHONE]"))
 
 
 def snippet(norm: Column | str) -> Column:
