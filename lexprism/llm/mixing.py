@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from .token_counts import token_counts
 
-MAX_SOURCES = 10_000
+FEW_SOURCES = 10_000
+SALTS = 64
+STEPS, GRID = 12, 32  # 32 ** 12 is 2 ** 60: as fine as the halvings
 BLOCK_DOCUMENTS = 10_000
 HALVINGS = 60
 ADDED = ("mix_copy", "mix_block", "mix_tokens", "mix_weight")
@@ -63,6 +65,52 @@ def exponent_for(shares: Sequence[float], target_entropy: float | None, most_rep
     return exponent
 
 
+def shared_target(shares: Sequence[float], toward_even: float) -> float | None:
+    """An entropy (as a part of the highest) that lies this part of the way from that of the shares to that of even ones."""
+    there = [s for s in shares if s > 0]
+    if len(there) < 2:
+        return None
+    own = entropy(there) / math.log(len(there))
+    return own + toward_even * (1.0 - own)
+
+
+def exponent_on_table(
+    sized: DataFrame, target_entropy: float | None, most_repeats: float | None, toward_even: float | None = None
+) -> float:
+    """``exponent_for`` where the sources (``total``) are too many for the driver: each step sums over the table.
+
+    A step tries a grid of exponents at once. How often sources repeat depends on the largest and the smallest only.
+    """
+    there = sized.where("total > 0")
+    ends = there.agg(F.max("total").alias("high"), F.min("total").alias("low"), F.count("*").alias("n")).first()
+    if not ends["n"]:
+        return 1.0
+    part = F.log(F.col("total") / F.lit(float(ends["high"])))
+
+    def entropies(exponents: Sequence[float]) -> list[float]:
+        raised = [F.exp(part * F.lit(x)) for x in exponents]
+        sums = [F.struct(F.sum(r).alias("s"), F.sum(r * part).alias("t")).alias(f"x{i}") for i, r in enumerate(raised)]
+        row = there.agg(*sums).first()
+        return [math.log(row[f"x{i}"]["s"]) - x * row[f"x{i}"]["t"] / row[f"x{i}"]["s"] for i, x in enumerate(exponents)]
+
+    exponent, highest = 1.0, math.log(ends["n"])
+    if ends["n"] > 1 and (target_entropy is not None or toward_even is not None):
+        (own,) = entropies([1.0])
+        goal = (target_entropy * highest if toward_even is None else own + toward_even * (highest - own)) - 1e-12
+        if own < goal:
+            low, high = 0.0, 1.0
+            for _ in range(STEPS):
+                tried = [low + (high - low) * k / GRID for k in range(1, GRID)]
+                held = [x for x, h in zip(tried, entropies(tried)) if h >= goal]
+                low = max(held, default=low)
+                high = min([x for x in tried if x > low], default=high)
+            exponent = low
+    if most_repeats is not None and ends["high"] > ends["low"]:
+        spread = math.log(ends["high"] / ends["low"])
+        exponent = max(exponent, min(1.0, 1.0 - math.log(max(most_repeats, 1.0)) / spread))
+    return exponent
+
+
 def word_total(text: Column | str) -> Column:
     """Words of a text at white space, at least 1: the share measure where no token counts are at hand."""
     column = F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
@@ -84,12 +132,17 @@ def mix_sources(
     most_repeats: float | None = 2.0,
     budget_tokens: int | None = None,
     seed: int = 17,
+    toward_even: float | None = None,
 ) -> DataFrame:
     """``df`` drawn to tempered source weights, with ``mix_copy``, ``mix_block``, ``mix_tokens``, ``mix_weight``.
 
     Source shares of tokens are raised to one exponent, found by bisection, that
     meets ``target_entropy`` (a part of the highest possible) within
-    ``most_repeats``. A source's budget is its weight times ``budget_tokens``;
+    ``most_repeats``. ``toward_even``, where given, takes the place of the
+    target: this part of the way from the entropy of the shares themselves to
+    the highest, so it asks for something whatever the shares are.
+
+    A source's budget is its weight times ``budget_tokens``;
     by default the budget is the smallest that reads every source at least once
     whole, so no document is lost and small sources repeat.
 
@@ -102,8 +155,11 @@ def mix_sources(
 
     Null sources are a source of their own; null and empty texts count one
     token. Rows equal in every column are drawn together. An empty table gives an empty result. Columns
-    of ``df`` with the four added names give way. At most 10,000 sources (refused beyond). Sources are cut into blocks before anything
-    is ordered, so one that holds most rows is spread like the others.
+    of ``df`` with the four added names give way. Sources are cut into blocks before anything
+    is ordered, so one that holds most rows is spread like the others. Up to
+    10,000 sources are weighed on the driver and their budgets sent to the
+    tasks; more are weighed by sums over their table and joined by shuffle, the
+    rows of each over 64 copies of its budget.
     """
     tokens = word_total("text") if tokens is None else tokens
     draw = F.xxhash64(F.col(id_column).cast("string"), F.lit(seed))
@@ -114,29 +170,27 @@ def mix_sources(
     )
 
     sized = keyed.groupBy("named").agg(F.sum("mix_tokens").alias("total"), F.count("*").alias("documents"))
-    totals = sized.orderBy("named").take(MAX_SOURCES + 1)
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    spark = df.sparkSession
-    plan = "named string, mix_weight double, passes long, rest long, blocks long"
+    sized = materialise(sized, "mix-sources")
+    totals = sized.orderBy("named").take(FEW_SOURCES + 1)
+    few = len(totals) <= FEW_SOURCES
     kept = [f"`{name}`" for name in df.columns if name not in ADDED]
     if not totals:
         nothing = {"mix_copy": "int", "mix_block": "long", "mix_tokens": "long", "mix_weight": "double"}
         return df.select(*kept, *[F.lit(0).cast(kind).alias(name) for name, kind in nothing.items()])
-    whole = sum(r["total"] for r in totals)
-    shares = [r["total"] / whole for r in totals]
-    weights = tempered(shares, exponent_for(shares, target_entropy, most_repeats))
-    least = max(range(len(totals)), key=lambda k: totals[k]["total"] / weights[k])
-    rows = []
-    for k, (r, weight) in enumerate(zip(totals, weights)):
-        if budget_tokens is None:  # the least repeated source is read exactly once
-            goal = r["total"] if k == least else max(r["total"], round(totals[least]["total"] / weights[least] * weight))
-        else:
-            goal = round(budget_tokens * weight)
-        rows.append((r["named"], weight, goal // r["total"], goal % r["total"], -(-r["documents"] // BLOCK_DOCUMENTS)))
-    budgets = F.broadcast(spark.createDataFrame(rows, plan))  # one row for each source
-
-    narrow = keyed.select("named", "draw", "same", "mix_tokens").join(budgets, "named").where("rest > 0")
+    if few:
+        budgets = _listed_budgets(df.sparkSession, totals, target_entropy, most_repeats, budget_tokens, toward_even)
+    else:
+        exponent = exponent_on_table(sized, target_entropy, most_repeats, toward_even)
+        budgets = materialise(_budget_table(sized, exponent, budget_tokens), "mix-budgets")
+
+    def of_sources(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+        """Rows with what their source has; one row of ``table`` for each source."""
+        if few:
+            return rows.join(F.broadcast(table), "named", how)
+        copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        return rows.withColumn("salt", F.pmod("draw", F.lit(SALTS))).join(copies, ["named", "salt"], how).drop("salt")
+
+    narrow = of_sources(keyed.select("named", "draw", "same", "mix_tokens"), budgets).where("rest > 0")
     narrow = materialise(narrow.withColumn("mix_block", F.pmod("draw", F.col("blocks"))), "mix-rows")
     held = narrow.groupBy("named", "mix_block").agg(F.sum("mix_tokens").alias("held"), F.first("rest").alias("rest"))
     before = Window.partitionBy("named").orderBy("place", "mix_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -144,15 +198,15 @@ def mix_sources(
     begun = begun.where("before < rest").select(
         "named", F.struct("place", "mix_block", (F.col("rest") - F.col("before")).alias("room")).alias("at")
     )
-    ends = F.broadcast(materialise(begun.groupBy("named").agg(F.max("at").alias("at")), "mix-ends"))  # one row for each source
+    ends = materialise(begun.groupBy("named").agg(F.max("at").alias("at")), "mix-ends")
 
     within = Window.partitionBy("named").orderBy("draw", "same").rowsBetween(Window.unboundedPreceding, -1)
-    ending = narrow.join(ends, "named").where("mix_block = at.mix_block")  # one block for each source
+    ending = of_sources(narrow, ends).where("mix_block = at.mix_block")  # one block for each source
     ending = ending.withColumn("spent", F.coalesce(F.sum("mix_tokens").over(within), F.lit(0))).where("spent < at.room")
     last = ending.groupBy("named").agg(F.max(F.struct("at.place", "at.mix_block", "draw", "same")).alias("last"))
-    last = F.broadcast(materialise(last, "mix-last"))
+    last = materialise(last, "mix-last")
 
-    out = keyed.join(budgets, "named").join(last, "named", "left").withColumn("mix_block", F.pmod("draw", F.col("blocks")))
+    out = of_sources(of_sources(keyed, budgets), last, "left").withColumn("mix_block", F.pmod("draw", F.col("blocks")))
     own = F.struct(_block_place(seed).alias("place"), "mix_block", "draw", "same")
     extra = F.coalesce(own <= F.col("last"), F.lit(False))
     copies = (F.col("passes") + extra.cast("long")).cast("int")
@@ -161,6 +215,45 @@ def mix_sources(
     return out.select(*[f"row.{name}" for name in kept], "mix_copy", "mix_block", "mix_tokens", "mix_weight")
 
 
+PLAN = "named string, mix_weight double, passes long, rest long, blocks long"
+
+
+def _listed_budgets(
+    spark: SparkSession, totals: list[Row], target_entropy: float | None, most_repeats: float | None, budget_tokens: int | None,
+    toward_even: float | None,
+) -> DataFrame:
+    """Weight, whole passes, rest and blocks of each source."""
+    whole = sum(r["total"] for r in totals)
+    shares = [r["total"] / whole for r in totals]
+    target = target_entropy if toward_even is None else shared_target(shares, toward_even)
+    weights = tempered(shares, exponent_for(shares, target, most_repeats))
+    least = max(range(len(totals)), key=lambda k: totals[k]["total"] / weights[k])
+    rows = []
+    for k, (r, weight) in enumerate(zip(totals, weights)):
+        if budget_tokens is None:  # the least repeated source is read exactly once
+            goal = r["total"] if k == least else max(r["total"], round(totals[least]["total"] / weights[least] * weight))
+        else:
+            goal = round(budget_tokens * weight)
+        rows.append((r["named"], weight, goal // r["total"], goal % r["total"], -(-r["documents"] // BLOCK_DOCUMENTS)))
+    return spark.createDataFrame(rows, PLAN)
+
+
+def _budget_table(sized: DataFrame, exponent: float, budget_tokens: int | None) -> DataFrame:
+    """The same for sources that stay in their table."""
+    high = float(sized.agg(F.max("total")).first()[0])
+    raised = F.exp(F.log(F.col("total") / F.lit(high)) * F.lit(exponent))
+    whole = sized.agg(F.sum(raised)).first()[0]
+    weight = raised / F.lit(whole)
+    if budget_tokens is None:  # the largest source is the least repeated and read exactly once
+        goal = F.greatest(F.col("total"), F.round(F.lit(high * whole) * weight).cast("long"))
+        goal = F.when(F.col("total") == int(high), F.col("total")).otherwise(goal)
+    else:
+        goal = F.round(F.lit(float(budget_tokens)) * weight).cast("long")
+    planned = sized.select("named", weight.alias("mix_weight"), "total", goal.alias("goal"), "documents")
+    blocks = F.ceil(F.col("documents") / BLOCK_DOCUMENTS)
+    return planned.select("named", "mix_weight", F.floor(F.col("goal") / F.col("total")).alias("passes"), (F.col("goal") % F.col("total")).alias("rest"), blocks.alias("blocks"))
+
+
 def _block_place(seed: int) -> Column:
     """Where a block stands in its source's permutation."""
     return F.xxhash64("named", "mix_block", F.lit(seed))

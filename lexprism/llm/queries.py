@@ -71,7 +71,7 @@ def op2_token_counts(spark, sf_dir):
 def op3_source_mixing(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").withColumn("text_hash", F.xxhash64("text"))
     counted = with_tokens(documents, TOKENIZER, ("doc_id", "source", "lang", "n_chars", "text_hash"))
-    drawn = mix_sources(counted, tokens=F.col("n_tokens"))
+    drawn = mix_sources(counted, tokens=F.col("n_tokens"), target_entropy=None, toward_even=0.5)
     return drawn.select("doc_id", "source", "mix_copy", "mix_block", "mix_tokens", "mix_weight")
 
 

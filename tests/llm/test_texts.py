@@ -11,7 +11,7 @@ import zlib
 import pytest
 from lexprism.llm.chat import ASSISTANT, escaped, format_examples, read_back, unescaped
 from lexprism.llm.language import identify, predict_languages, train_languages
-from lexprism.llm.mixing import entropy, exponent_for, mix_sources, repetition, tempered
+from lexprism.llm.mixing import entropy, exponent_for, mix_sources, repetition, shared_target, tempered
 from lexprism.llm.quality import features, in_fold, keep_quality, score_quality, train_quality
 from lexprism.llm.secrets import findings, redact_secrets, scan_secrets
 from pyspark.sql import functions as F
@@ -225,7 +225,7 @@ def test_sources_are_mixed_by_tokens(spark, tmp_path, pipeline):
     for doc, _, _, source, _ in rows:
         sums[source] = sums.get(source, 0) + max(1, n[doc])
     shares = [t / sum(sums.values()) for t in sums.values()]
-    weights = dict(zip(sums, tempered(shares, exponent_for(shares, 0.9, 2.0))))
+    weights = dict(zip(sums, tempered(shares, exponent_for(shares, shared_target(shares, 0.5), 2.0))))
     if pipeline:
         drawn = corpus_pipeline.mixing(spark, df, "").collect()
         budget = max(sums[s] / w for s, w in weights.items())
