@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .memo import Memo
@@ -29,6 +29,11 @@ def plain(text: str) -> str:
     return NOT_LETTERS.sub(" ", text.lower()).strip()
 
 
+def within_share(draw: Column, share: Column) -> Column:
+    """Whether a 64-bit hash lies in the lowest ``share`` (0 to 1) of its whole range."""
+    return draw.cast("double") / float(2**64) + 0.5 <= share
+
+
 def train_languages(
     docs: DataFrame,
     text: str = "text",
@@ -62,7 +67,7 @@ def train_languages(
     room = F.greatest(F.char_length(text) - SAMPLE_CHARS, F.lit(0)) + 1
     part = F.substring(F.col(text), (F.pmod(draw, room) + 1).cast("int"), F.lit(SAMPLE_CHARS))
     thin = usable.select(F.col(language).alias("__lang"), draw.alias("draw"), part.alias("part"))
-    thin = thin.join(F.broadcast(shares), "__lang").where((F.pmod("draw", F.lit(1_000_000)) + 0.5) / 1_000_000 <= F.col("share"))
+    thin = thin.join(F.broadcast(shares), "__lang").where(within_share(F.col("draw"), F.col("share")))
     nearest = thin.groupBy("__lang").agg(F.sort_array(F.collect_list(F.struct("draw", "part"))).alias("parts"))
     nearest = nearest.select("__lang", F.transform(F.slice("parts", 1, sample_documents), lambda p: p["part"]).alias("parts"))
     out = {}
