@@ -115,8 +115,9 @@ def train_quality(
     """Learn from at most ``max_examples`` labelled rows outside the held-out fold.
 
     The sample is the labelled ids of smallest hash, so it depends neither on
-    partitions nor on order. Only it meets one task, as hashed features; an id
-    with several labels takes their mean, rounded up. Null ids and labels take
+    partitions nor on order. Only it meets one task, as hashed features. An id
+    with several labels takes their mean, rounded up; of several texts of one id
+    that of the smallest hash is learned from, so the bound holds. Null ids and labels take
     no part. Without examples, or with one class only, all weights are 0 and the
     constant is that of the class shares (score 0.5 without any).
     """
@@ -127,15 +128,15 @@ def train_quality(
     sample = known.orderBy(order, id_column).limit(max_examples)
     texts = docs.select(F.col(id_column), F.col(text).cast("string").alias("__text"))
     chosen = texts.join(F.broadcast(sample), id_column).select(
-        order.alias("__order"), "__label", "__text"
+        order.alias("__order"), "__label", F.xxhash64("__text").alias("__hash"), F.col(id_column).cast("string").alias("__id"), "__text"
     )
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.as_py()) for t in batch.column(2)]
-            columns = [batch.column(0), batch.column(1), pa.array([b for b, _ in found], pa.list_(pa.int32())),
+            found = [features(t.as_py()) for t in batch.column(4)]
+            columns = [*batch.columns[:4], pa.array([b for b, _ in found], pa.list_(pa.int32())),
                        pa.array([v for _, v in found], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["place", "label", "buckets", "values"])
+            yield pa.RecordBatch.from_arrays(columns, ["place", "label", "hash", "id", "buckets", "values"])
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(size=rows["buckets"].map(len)).sort_values(["place", "label", "size"], kind="stable")
@@ -145,7 +146,8 @@ def train_quality(
         weights, constant = _fitted(goal, list(rows["buckets"]), list(rows["values"]), rules)
         return pd.DataFrame({"weights": [weights.tobytes()], "constant": [constant]})
 
-    examples = chosen.mapInArrow(hashed, "place long, label int, buckets array<int>, values array<float>")
+    seen = chosen.mapInArrow(hashed, "place long, label int, hash long, id string, buckets array<int>, values array<float>")
+    examples = seen.groupBy("id").agg(F.min(F.struct("place", "label", "hash", "buckets", "values")).alias("one")).select("one.*")
     fitted = examples.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "weights binary, constant double").first()
     if fitted is None:
         return Model(np.zeros(1 << BUCKET_BITS, np.float32), 0.0)
