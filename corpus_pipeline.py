@@ -40,7 +40,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, those of small sources as often as their tempered weight asks; shares are of tokens."""
-    return mix_sources(with_tokens(docs, TOKENIZER, tuple(docs.columns)), tokens=F.col("n_tokens")).select(docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), "doc_id", "source", "text")
+    counted = with_tokens(rows, TOKENIZER, ("row", "doc_id", "source"))
+    drawn = mix_sources(counted, tokens=F.col("n_tokens"), target_entropy=None, toward_even=0.5)
+    return drawn.select("row.*")  # whole rows went through as one column, so their names met none of the operators'
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
