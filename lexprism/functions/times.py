@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import bind
+
 SEPARATORS = ("/", "-", ".")
 # The first three letters of the English months.
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
@@ -60,32 +62,32 @@ def mixed_time(column: Column | str, days_first: frozenset[str] = frozenset()) -
     English, in full or by three letters.
     """
     text = _text(column)
-
-    def part(shape: str, at: int) -> Column:
-        return F.nullif(F.regexp_extract(text, SHAPES[shape], at), F.lit(""))
-
-    def clock(shape: str) -> Column:
-        hour, half = part(shape, 4).cast("int"), F.upper(F.substring(part(shape, 8), 1, 1))
-        hour = F.when(half.isNull(), hour).when((hour > 12) | (hour < 1), F.lit(None)).otherwise(hour % 12 + F.when(half == "P", 12).otherwise(0))
-        zone = part(shape, 9)
-        zone = F.when(zone.isin("UTC", "GMT"), "Z").otherwise(F.regexp_replace(zone, r"^([+-]\d\d):?(\d\d)$", "$1:$2"))
-        told = F.concat(
-            F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(shape, 5), F.lit(":"), F.coalesce(part(shape, 6), F.lit("00")),
-            F.lit("."), F.substring(F.coalesce(part(shape, 7), F.lit("0")), 1, 6),
+    parts = "|".join(f"${at}" for at in range(1, 10))
+
+    def taken(shape: str) -> Column:
+        """The name of the shape and the nine parts of a text that has it."""
+        told = F.concat(F.lit(f"{shape}|"), F.regexp_replace(text, SHAPES[shape], parts))
+        return F.when(text.rlike(SHAPES[shape]), F.split(told, r"\|", -1))
+
+    def standard(p: Column) -> Column:
+        shape, first, second, third = (F.get(p, F.lit(at)) for at in range(4))
+        hour, minute, second_of, fraction, half, zone = (F.nullif(F.get(p, F.lit(at)), F.lit("")) for at in range(4, 10))
+        year_first = shape.isin("year_first", "compact")
+        turned = F.regexp_extract(text, r"^\d{1,2}([-/.])", 1).isin(list(days_first)) if days_first else F.lit(False)
+        month = F.when(year_first, second).when(shape == "day_name", _month(second)).when(shape == "name_day", _month(first))
+        month = month.otherwise(F.when(turned, second).otherwise(first))
+        day = F.when(year_first, third).when(shape == "day_name", first).when(shape == "name_day", second)
+        day = day.otherwise(F.when(turned, first).otherwise(second))
+        date = F.concat_ws("-", F.when(year_first, first).otherwise(third), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+        clock, afternoon = hour.cast("int"), F.upper(F.substring(half, 1, 1)) == "P"
+        clock = F.when(half.isNull(), clock).when(clock.between(1, 12), clock % 12 + F.when(afternoon, 12).otherwise(0))
+        time = F.concat(
+            F.lit(" "), F.lpad(clock.cast("string"), 2, "0"), F.lit(":"), minute, F.lit(":"), F.coalesce(second_of, F.lit("00")),
+            F.lit("."), F.substring(F.coalesce(fraction, F.lit("0")), 1, 6),
         )
-        return F.concat(F.when(part(shape, 4).isNull(), F.lit(" 00:00:00")).otherwise(told), F.coalesce(zone, F.lit("")))
-
-    def told(shape: str, year: Column, month: Column, day: Column) -> Column:
-        date = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
-        return F.when(text.rlike(SHAPES[shape]), F.concat(date, clock(shape)))
-
-    first, second = part("year_last", 1), part("year_last", 2)
-    turned = F.regexp_extract(text, r"^\d{1,2}([-/.])", 1).isin(list(days_first)) if days_first else F.lit(False)
-    standard = F.coalesce(
-        told("year_first", part("year_first", 1), part("year_first", 2), part("year_first", 3)),
-        told("compact", part("compact", 1), part("compact", 2), part("compact", 3)),
-        told("year_last", part("year_last", 3), F.when(turned, second).otherwise(first), F.when(turned, first).otherwise(second)),
-        told("day_name", part("day_name", 3), _month(part("day_name", 2)), part("day_name", 1)),
-        told("name_day", part("name_day", 3), _month(part("name_day", 1)), part("name_day", 2)),
-    )
-    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(standard))
+        zone = F.when(zone.isin("UTC", "GMT"), "Z").otherwise(F.regexp_replace(zone, r"^([+-]\d\d):?(\d\d)$", "$1:$2"))
+        told = F.concat(date, F.when(hour.isNull(), F.lit(" 00:00:00")).otherwise(time), F.coalesce(zone, F.lit("")))
+        return F.when(month.isNotNull(), told)
+
+    mixed = bind(F.coalesce(*[taken(shape) for shape in SHAPES]), standard)
+    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(mixed))
