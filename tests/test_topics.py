@@ -349,3 +349,20 @@ def test_rows_stop_on_their_own():
     alone = np.vstack([X.row_weights((row[None] @ h.T)[None], (h @ h.T)[None])[0] for row in x])
     assert np.array_equal(together[0], alone) or np.allclose(together[0], alone, rtol=0, atol=1e-12)
     assert not unfinished.any()
+
+
+def test_the_driver_gets_one_array_however_many_tasks_there_are(spark, monkeypatch):
+    from lexprism.operators.topics import passes
+
+    rows = spark.range(64, numPartitions=16).selectExpr("array(cast(id % 5 as int)) indices", "array(1.0D) weights", "array(true) member")
+    seen, fetch = [], type(rows).toArrow
+
+    def recorded(df):
+        seen.append(fetch(df))
+        return seen[-1]
+
+    monkeypatch.setattr(type(rows), "toArrow", recorded)
+    wide = 20_000
+    found = passes.accumulate(rows, 5, [wide, 5], lambda dense, inside: [np.full(wide, float(len(dense))), dense.sum(axis=0)])
+    assert (found[0] == 64).all() and found[1].tolist() == [13.0, 13.0, 13.0, 13.0, 12.0]
+    assert sum(table.nbytes for table in seen) < 1.2 * 8 * wide
