@@ -183,3 +183,19 @@ def test_long_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
         (tmp_path / name).write_bytes(content)
     found = {tuple(r) for r in readers.file_fingerprints(spark, str(tmp_path)).collect()}
     assert found == {(name, hashlib.sha256(content).hexdigest()) for name, content in contents.items()}
+
+
+def test_the_line_source_is_written_in_as_many_parts_as_the_session_deals(spark, tmp_path, monkeypatch):
+    from catalog import queries
+
+    rows = [(i, f" line\t{i} é") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    paths, read = [], R.read_lines
+    monkeypatch.setattr(R, "read_lines", lambda session, path: paths.append(path) or read(session, path))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = queries.QUERIES["line_source"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, found)) == [(f"TXT-{i + 1:06d}", f"line {i} é") for i in range(400)]
+    assert len(spark.read.text(paths[0]).inputFiles()) > 4
