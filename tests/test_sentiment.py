@@ -361,3 +361,17 @@ def test_analysis_reads_mixed_times(spark, lexicon):
     df = spark.createDataFrame(rows, "text string, at string")
     found = analyze_sentiment(df, SentimentConfig("text", time_column="at", time_grain="day"), lexicon)
     assert [r["period"] for r in found.time_summary.collect()] == ["2025-01-05", "2025-01-06", "2025-01-07"]
+
+
+def test_texts_are_scored_a_megabyte_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from lexprism.operators import scoring
+
+    held, part = [], scoring._part
+    monkeypatch.setattr(scoring, "_part", lambda texts, *rest: held.append(texts.nbytes) or part(texts, *rest))
+    ready = scoring.Rules(M.RULES, ["good"], [2.0])
+    texts = pa.array(["good bad " * 100] * 5_000)
+    found = scoring.score_sums(texts, None, ready)
+    assert len(found) == 5_000 and max(held) < 1.2e6
+    assert found[0] == found[4_999] == part(texts.slice(0, 1), None, ready)[0]

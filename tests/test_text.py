@@ -120,3 +120,28 @@ def test_pairs_are_formed_after_stopword_removal(spark):
 def test_group_label(spark, value, label):
     df = spark.createDataFrame([(value,)], "g string")
     assert df.select(T.group_label("g")).first()[0] == label
+
+
+LATIN = [chr(c) for c in [*range(0x80, 0x250), *range(0x2000, 0x2070), 0x20AC, 0x300, 0x1E9E, 0x130, 0x3A3, 0xFB01, 0x1F600]]
+
+
+def test_every_latin_character_is_prepared_as_python_does(spark):
+    texts = [f"{c}a {c} E{c}\t{c.upper()}s" for c in LATIN]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    found = df.select("i", T.normalized("text"), T.lexical("text"), T.folded("text")).collect()
+    assert [(n, x, f) for _, n, x, f in sorted(found)] == [(T._clean(t), T._without_accents(t), T._folded(t)) for t in texts]
+
+
+def test_plain_latin_texts_need_no_python(spark):
+    def refused(text):
+        raise AssertionError(text)
+
+    texts = ["Straße – “Ñandú” l’été", "plain", "ÀÖØ öøÿ ß"]
+    assert column(spark, texts, T._prepared("text", refused, lambda c: c)) == texts
+
+
+def test_ascii_tokens_equal_those_of_the_whole_pattern(spark):
+    texts = ["it's a-b x1 9z _q q_ --a' no'", "", "a", "Ab9_'-c d'", "x" * 40, "1a2 b3-"]
+    pattern = F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0))
+    assert column(spark, texts, T.tokens("text")) == column(spark, texts, pattern)
+    assert column(spark, texts, T.word_count("text")) == [len(found) for found in column(spark, texts, pattern)]
