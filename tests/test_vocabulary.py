@@ -127,3 +127,29 @@ def test_document_counts_need_no_shuffle(spark):
     flat = tokens.withColumn("tokens", F.col("tokens")).coalesce(1)
     plan = V.matrix_entries(V.term_matrix(flat, vocabulary), "doc_key")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == tokens._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_pairs_are_counted_some_documents_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(V, "COUNTED_AT_ONCE", 5)
+    batch = pa.RecordBatch.from_arrays([pa.array([["a", "b"], None, ["a", None, "a"], [], ["c"] * 9, ["d"]])], names=["tokens"])
+    pieces = [(terms.to_pylist(), owner.tolist()) for terms, owner in V._pieces(iter([batch]))]
+    assert pieces == [(["a", "b", "a", "a"], [0, 0, 2, 2]), (["c"] * 9, [0] * 9), (["d"], [0])]
+
+
+def test_pair_totals_equal_a_plain_count_by_either_way(spark, monkeypatch):
+    from collections import Counter
+
+    rows = [(["a", "b", "a", "b", "é"],), (["b", "a"],), ([],), (["a", "x", "b", "é", "b", "é"],), (["a", "b"],)]
+    tokens = spark.createDataFrame(rows, "tokens array<string>").repartition(3)
+    frequent = spark.createDataFrame([("a",), ("b",), ("é",)], "term string")
+    found = [[f"{x} {y}" for x, y in zip(words, words[1:]) if "x" not in (x, y)] for words, in rows]
+    counts, frequencies = Counter(p for d in found for p in d), Counter(p for d in found for p in set(d))
+    expected = sorted((p, n, frequencies[p]) for p, n in counts.items())
+    assert sorted(map(tuple, V.pair_totals(tokens, frequent, 3).collect())) == expected
+    monkeypatch.setattr(V, "BROADCAST_TERM_LIMIT", 2)
+    assert sorted(map(tuple, V.pair_totals(tokens, frequent, 3).collect())) == expected
+    monkeypatch.undo()
+    plan = V.pair_totals(tokens, frequent, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # no row for each occurrence
