@@ -366,3 +366,20 @@ def test_the_driver_gets_one_array_however_many_tasks_there_are(spark, monkeypat
     found = passes.accumulate(rows, 5, [wide, 5], lambda dense, inside: [np.full(wide, float(len(dense))), dense.sum(axis=0)])
     assert (found[0] == 64).all() and found[1].tolist() == [13.0, 13.0, 13.0, 13.0, 12.0]
     assert sum(table.nbytes for table in seen) < 1.2 * 8 * wide
+
+
+def test_partial_sums_do_not_grow_with_the_parts_the_rows_were_written_in(spark, planted_matrix):
+    from lexprism.operators.topics import passes
+
+    vocabulary, matrix = planted_matrix
+    most = max(N.LEAST_PASS_TASKS, N.PASS_TASKS_PER_SLOT * spark.sparkContext.defaultParallelism)
+    terms = len(vocabulary.terms)
+    sums = []
+    for parts in (3, most + 90):
+        written = spark.createDataFrame(matrix.rdd.repartition(parts), matrix.schema)
+        rows = N._fit_rows(written.filter(F.size("indices") > 0), F.array(F.lit(True)))
+        assert rows.rdd.getNumPartitions() == min(parts, most)
+        sums.append(passes.accumulate(rows, terms, [terms], lambda dense, inside: [dense.sum(axis=0)])[0])
+        rows.unpersist()
+    np.testing.assert_allclose(sums[0], dense(vocabulary, matrix).sum(axis=0), rtol=1e-12)
+    np.testing.assert_allclose(sums[1], sums[0], rtol=1e-12)
